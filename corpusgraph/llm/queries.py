@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.llm import sp_encode
+from pyspark.sql import functions as F
+
+from corpusgraph.llm import decontam, fingerprints, html_text, license_scan, line_chunks, neardup, quality, sp_encode, token_spans, warc
 from corpusgraph.llm._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +29,66 @@ def piece_model() -> str:
 @query
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_encode.encode_digests(table(spark, sf_dir, "documents"), piece_model())
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_license_scan"] = license_scan.ORACLE
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_fingerprints"] = fingerprints.ORACLE
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest columns of the texts after removal: nothing but the ranges and hashes is written."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_chunks.remove_repeated(docs, cuts="cuts")
+    cuts = F.coalesce("cuts", F.array().cast("array<struct<pos:int,lines:int>>"))
+    return out.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
+        F.size(cuts).cast("long").alias("n_chunks_removed"), F.aggregate(cuts, F.lit(0), lambda a, c: a + c["lines"]).cast("long").alias("n_lines_removed"), cuts.alias("removed"),
+    )
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' archives against a replica in which one letter of every 97th page was turned over."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    return warc.audited_pages(pages, pages.withColumn("html", damaged))
+
+
+@query
+def op10_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_spans.section_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
