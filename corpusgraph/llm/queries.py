@@ -92,3 +92,13 @@ def op10_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_spans.section_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+#: Cuts the article out of the pages that the tables hold, whose layout is one and the same.
+ORACLES["op1_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>([\s\S]*)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, unnest(string_split_regex(h, '</?(?:h1|p)>')) AS t, generate_subscripts(string_split_regex(h, '</?(?:h1|p)>'), 1) AS i FROM a),
+c AS (SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '<[^>]+>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g')) AS t FROM b),
+d AS (SELECT page_id, url, string_agg(regexp_replace(t, '&amp;?', '&', 'g'), chr(10) || chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY ALL)
+SELECT page_id, a.url, coalesce(text, '') AS text, coalesce(length(text), 0)::BIGINT AS n_chars FROM a LEFT JOIN d USING (page_id)
+"""
