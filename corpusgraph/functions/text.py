@@ -159,9 +159,10 @@ def better_than_static(rendered: Column, static: Column) -> Column:
 def page_title(html: Column, url: Column) -> Column:
     """First non-empty h1 without a trailing #, else <title>, else the last segment of the address."""
     text = lambda c: collapse(F.regexp_replace(c, r"<[^>]+>", ""))
-    h1 = F.regexp_replace(text(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)), r"\s*#+$", "")
+    all_h1 = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), 1), lambda h: F.regexp_replace(text(h), r"\s*#+$", ""))
+    h1 = F.get(F.filter(all_h1, lambda h: h != ""), F.lit(0))
     title = text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return F.when(h1 != "", h1).when(title != "", title).otherwise(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1))
+    return F.when(h1.isNotNull(), h1).when(title != "", title).otherwise(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1))
 
 
 def page_headings(html: Column, most: int = 12) -> Column:

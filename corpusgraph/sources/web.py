@@ -55,7 +55,7 @@ def inventory_urls(blobs: DataFrame, base: str) -> DataFrame:
                 for name, _, role, _, uri, _ in re.findall(INVENTORY_LINE, lines):
                     if role == "doc":
                         out.append(uri[:-1] + name if uri.endswith("$") else uri)
-            yield pd.DataFrame({"uri": out})
+            yield pd.DataFrame({"uri": pd.Series(out, dtype=object)})
 
     uris = blobs.select("content").mapInPandas(read, "uri string")
     url = uris.select(T.absolute_url(F.lit(base), F.col("uri")).alias("url"))

@@ -11,6 +11,14 @@ from corpusgraph.functions import ids
 from corpusgraph.operators import graph
 
 
+SCHEMAS = {
+    "nodes": "i string, c string, t string, u string, g int, r double, w int",
+    "edges": "s string, t string, k string",
+    "postings": "term string, id string, tf long, n_all long",
+    "docs": "id string, chapter string, title string, url string, sha string, body string, bucket int",
+}
+
+
 @dataclass(frozen=True)
 class Store:
     """A folder of tables nodes, edges, postings, docs and meta.  One writer at a time; readers see a site by its meta."""
@@ -34,7 +42,9 @@ class Store:
         self._write(report.withColumns({"url": F.lit(url), "doc_buckets": F.lit(n), "built_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")}), "meta", site_id)
 
     def read(self, name: str, site_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("site_id") == site_id)
+        kind = SCHEMAS.get(name.split("_")[0])  # said here, since a table may have no row and so no file
+        r = self.spark.read.schema(f"{kind}, site_id string") if kind else self.spark.read
+        return r.parquet(f"{self.path}/{name}").where(F.col("site_id") == site_id)
 
     def list_sites(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/meta").orderBy("site_id")
