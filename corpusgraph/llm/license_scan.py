@@ -1,10 +1,10 @@
 """Licence scans by a positional rare-token index, in SQL functions only.
 
 Each licence template is a short run of words.  The index holds, for the rarest words of each template (highest inverse
-frequency over the templates), their positions in it.  A file's places of such a word minus its positions in a template
-are the offsets where the template may lie; offsets on which two different rare words agree (array_intersect, linear in
-the number of places) are alignments.  An alignment counts if the template's key phrase stands word for word where it
-must.  Its score is the share of the template's inverse frequency whose words stand at their places.
+frequency over the templates), their positions in it.  A file's places of such words minus their positions in a template
+are the offsets where the template may lie; offsets on which two places agree (neighbours after sorting, so linear in the
+number of places but for the sort) are alignments.  An alignment counts if the template's key phrase stands word for word
+where it must.  Its score is the share of the template's inverse frequency whose words stand at their places.
 
 Everything is local to a row: no shuffle, no join, and memory is bounded by one text.
 """
@@ -38,7 +38,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 #: Rare words of each template in the index, and the score from which an alignment gives its label.
-RARE, FROM = 4, 0.5
+RARE, FROM = 8, 0.5
 #: Words after A-Z became a-z, and the same words where A-Z are still there.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -68,12 +68,13 @@ def _template_sql(template: str, key: str, idf: dict[str, float]) -> str:
     for r in _rare(template, idf):
         at = [i for i, x in enumerate(words) if x == r]
         offsets.append(f"flatten(transform(filter(seen, s -> s.x = '{r}'), s -> array({', '.join(f's.i - {q}' for q in at)})))")
-    both = [f"array_intersect({a}, {b})" for i, a in enumerate(offsets) for b in offsets[i + 1 :]]
+    alike = "transform(o_all, (v, i) -> if(i > 0 AND get(o_all, i - 1) = v, v, NULL))"
+    agreed = f"element_at(transform(array(array_sort(concat({', '.join(offsets)}))), o_all -> array_distinct(filter({alike}, v -> v IS NOT NULL))), 1)"
     k = key.split()
     begin = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
     total = sum(idf[x] for x in words)
     share = f"aggregate(sequence(0, {len(words) - 1}), 0D, (acc, q) -> acc + if(get(w, CAST(o + q AS INT)) = get({_list(words)}, q), get({_list([idf[x] for x in words])}, q), 0D)) / {total!r}D"
-    return f"array_max(transform(filter(array_distinct(concat({', '.join(both)})), o -> {_stands(k, f'o + {begin}')}), o -> {share}))"
+    return f"array_max(transform(filter({agreed}, o -> {_stands(k, f'o + {begin}')}), o -> {share}))"
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,7 +121,7 @@ def _oracle() -> str:
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
 u AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS x FROM d),
 t(label, q, x, idf, rare, key) AS (VALUES {', '.join(rows)}),
-o AS (SELECT doc_id, label, i - q AS o FROM u JOIN t USING (x) WHERE rare GROUP BY ALL HAVING count(DISTINCT x) >= 2),
+o AS (SELECT doc_id, label, i - q AS o FROM u JOIN t USING (x) WHERE rare GROUP BY ALL HAVING count(*) >= 2),
 v AS (
   SELECT o.doc_id, o.label, o.o, sum(CASE WHEN u.x = t.x THEN t.idf ELSE 0 END) / sum(t.idf) AS share, bool_and(NOT t.key OR coalesce(u.x = t.x, false)) AS ok
   FROM o JOIN t USING (label) LEFT JOIN u ON u.doc_id = o.doc_id AND u.i = o.o + t.q GROUP BY ALL),
