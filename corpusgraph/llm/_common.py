@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Largest number of narrow rows that is ever broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 500_000
 #: Bytes of one Arrow batch handed to a Python worker, so that very long texts don't pile up in one batch.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

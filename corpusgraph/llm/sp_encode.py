@@ -32,7 +32,7 @@ from corpusgraph.llm._common import ship
 
 MARK = "▁"
 #: Words of each of the two generations of a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class BacktrackingEncoder:
