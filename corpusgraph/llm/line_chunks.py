@@ -23,9 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm._common import cut, ship, small
+from corpusgraph.llm._common import BROADCAST_ROWS, cut, ship, small
 
 WINDOW, DIVISOR, LONG_WORDS = 2, 2, 25
+#: Bytes of repeated chunks, each once, that are broadcast at most.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def chunks_of(text: str, window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes, bool]]:
@@ -85,8 +87,11 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     again = cut(_emit(docs, False, options).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     found = cut(_emit(docs, True, options).join(small(again), "h", "left_semi"))
     at = F.struct("doc_id", "th", "pos")
-    first = found.groupBy("h", "chunk").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = found.join(first, ["h", "chunk"]).where(at != F.col("first"))
+    first = cut(found.groupBy("h", "chunk").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # the places of one chunk may be a third of all: they stay where they are if the chunks are few, else Spark splits them
+    size = first.agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("bytes")).first()
+    few = size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    gone = found.join(F.broadcast(first) if few else first, ["h", "chunk"]).where(at != F.col("first"))
     return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "lines"))).alias("cuts"))
 
 
