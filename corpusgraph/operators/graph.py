@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +37,44 @@ def verdict(edges: DataFrame) -> DataFrame:
     return n.select(F.when(ready, "READY").otherwise("NOT-READY").alias("verdict"), note.alias("note"), "edges")
 
 
-def pagerank(ids: DataFrame, edges: DataFrame, cfg: Config = DEFAULT, every: int = 5) -> DataFrame:
+#: Links up to which PageRank runs in one task, in arrays of about 40 bytes a link; beyond it every round is distributed.
+ONE_TASK_LINKS = 2_000_000
+
+
+def pagerank(ids: DataFrame, edges: DataFrame, cfg: Config = DEFAULT, every: int = 5, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
     """(id, r) after a fixed number of rounds; ranks of nodes without links out are spread over all.
 
-    Links are dealt by source once; each round is one join and one aggregation with map-side combine, and the sum of
-    dangling ranks a one-row join.  The lineage is cut every few rounds by a reliable checkpoint.
+    A graph that is proven small is ranked by one task, in one job.  Else links are dealt by source once; each round is
+    one join and one aggregation with map-side combine, and the sum of dangling ranks a one-row join.  The lineage is cut
+    every few rounds by a reliable checkpoint.  An edge whose target is unknown passes its share on to nobody.
     """
+    if ids.limit(one_task_links + 1).count() + edges.limit(one_task_links + 1).count() <= one_task_links:
+        return _pagerank_in_one_task(ids, edges, cfg)
+    return _pagerank_by_rounds(ids, edges, cfg, every)
+
+
+def _pagerank_in_one_task(ids: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
+    damping, rounds = cfg.damping, cfg.iterations
+
+    def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        node = pd.Index(rows.loc[rows["t"].isna(), "id"].drop_duplicates().sort_values())
+        link = rows[rows["t"].notna()]
+        source, target = node.get_indexer(link["id"]), node.get_indexer(link["t"])
+        n = len(node)
+        known = source >= 0
+        out = np.bincount(source[known], minlength=n)
+        source, target = source[known & (target >= 0)], target[known & (target >= 0)]
+        r = np.full(n, 1.0 / max(n, 1))
+        for _ in range(rounds):
+            share = np.divide(damping * r, out, out=np.zeros(n), where=out > 0)
+            r = (1 - damping) / max(n, 1) + damping * r[out == 0].sum() / max(n, 1) + np.bincount(target, share[source], minlength=n)[:n]
+        return pd.DataFrame({"id": node.to_numpy(object), "r": r})
+
+    both = ids.select("id", F.lit(None).cast("string").alias("t")).union(edges.select("s", "t")).withColumn("all", F.lit(1))
+    return both.groupBy("all").applyInPandas(rank, "id string, r double").select("id", F.round("r", 6).alias("r"))
+
+
+def _pagerank_by_rounds(ids: DataFrame, edges: DataFrame, cfg: Config, every: int) -> DataFrame:
     n = ids.count()
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("r"))

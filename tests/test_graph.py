@@ -49,6 +49,7 @@ def test_pagerank_spreads_dangling_rank(spark):
     got = {r.id: r.r for r in graph.pagerank(n, e).collect()}
     assert all(math.isclose(got[k], pr[k], abs_tol=1e-6) for k in pr) and math.isclose(sum(got.values()), 1, abs_tol=1e-5)
     assert graph.pagerank(n.limit(0), e).count() == 0
+    assert {r.id: r.r for r in graph.pagerank(n, e, one_task_links=0).collect()} == got
 
 
 def test_neighbours_and_induced(spark):
