@@ -13,9 +13,10 @@ costs one hash for each shingle and a few for each dart, not k for each shingle.
 3. representatives meet in bands.  In every bucket they are paired with one centre only, the member that collides most
    often: a group of n copies gives about n pairs instead of n(n-1)/2;
 4. pairs are verified exactly on the whole texts; connected components are formed of those with similarity >= 0.8;
-5. whatever shares a bucket and is still in different components is verified pair by pair, unless the triangle
-   inequality (1 - similarity is a metric) over the known distances to the bucket's centre or the weights exclude it.
-   No link between candidates is lost therefore, and pairs inside a component, which can't change it, are never made.
+5. members of a bucket that are still in different components are looked at again, by how they differ from the bucket's
+   centre: two of them can only be similar if their differences share many units, which a prefix filter over the rare
+   ones finds (see ``_linkable``).  What it finds is verified exactly.  No link between documents that share a bucket is
+   lost, and the pairs inside a component, which can't change it, are never made.
 
 30 bands of 5 coordinates: a pair of similarity 0.8 shares no bucket with probability 7e-6.
 """
@@ -36,49 +37,74 @@ from corpusgraph.llm.components import components
 from corpusgraph.llm.shingles import Rolled, mix, words_of
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
-_GAP, _COORD, _NAME, _UNIT = (np.uint64(x) for x in (0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407))
+_GAP, _NAME, _UNIT = (np.uint64(x) for x in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407))
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return (mix(h) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def units_of(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place of the element, level) of each unit of weight of distinct elements."""
+    if counts.max(initial=1) == 1:
+        return mix(elements), np.arange(len(elements)), np.zeros(len(elements), np.int64)
+    at = np.repeat(np.arange(len(elements)), counts)
+    level = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(elements[at] + level.astype(np.uint64) * _UNIT), at, level
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """Names of the earliest darts, one for each of k coordinates; ``elements`` are distinct 64-bit hashes."""
-    units = np.ceil(weights).astype(np.int64)
-    if units.max() == 1:
-        key, level, most = elements, np.zeros(len(elements)), weights
-    else:
-        at = np.repeat(np.arange(len(elements)), units)
-        level = (np.arange(len(at)) - np.repeat(np.cumsum(units) - units, units)).astype(np.float64)
-        key, most = mix(elements[at] + level.astype(np.uint64) * _UNIT), weights[at]
-    whole = bool((most >= level + 1).all())
+    key, at, level = units_of(elements, np.ceil(weights).astype(np.int64))
+    room = weights[at] - level
+    whole = bool((room >= 1).all())
     horizon = k * (log(k) + 3) / float(weights.sum())
-    with np.errstate(over="ignore"):
-        while True:
-            out, when = np.zeros(k, np.uint64), np.full(k, np.inf)
-            left, top, t, n = key, most - level, np.zeros(len(key)), 0
-            while len(left):
-                number = np.uint64(n + 1)
-                u = (mix(left + number * _GAP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-                if n == 0:  # most units have no dart before the horizon
-                    near = u <= 1 - exp(-horizon)
-                    left, top, t, u = left[near], top[near], t[near], u[near]
-                t = t - np.log1p(-u)
-                near = t <= horizon
-                left, top, t = left[near], top[near], t[near]
-                at = (mix(left + number * _COORD) % np.uint64(k)).astype(np.int64)
-                name, own, hit = mix(left + number * _NAME), t, None
-                if not whole:  # a unit that the weight fills in part only
-                    hit = (mix(name + _UNIT) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < top
-                    at, name, own = at[hit], name[hit], t[hit]
-                order = np.argsort(-own, kind="stable")
-                at, name, own = at[order], name[order], own[order]
-                first = np.full(k, np.inf)
-                got = np.zeros(k, np.uint64)
-                first[at], got[at] = own, name  # the last, which is the earliest, stays
-                sooner = first < when
-                out[sooner], when[sooner] = got[sooner], first[sooner]
-                n += 1
-            if np.isfinite(when).all():
-                return out
-            horizon *= 2
+    first = _uniform(key + _GAP)
+    while True:
+        hit = np.flatnonzero(first <= 1 - exp(-horizon))  # most units of a long text have no dart before the horizon
+        own, t = key[hit], -np.log1p(-first[hit])
+        # times of the units' further darts, as many columns as hardly any unit needs
+        columns = int(horizon + 5 * horizon**0.5 + 4)
+        name, when = [own[:, None]], [t[:, None]]
+        done = 1
+        while len(own):
+            number = np.arange(done + 1, done + columns + 1, dtype=np.uint64)
+            times = t[:, None] - np.cumsum(np.log1p(-_uniform(own[:, None] + number * _GAP)), 1)
+            name.append(own[:, None] + (number - np.uint64(1)) * _NAME)
+            when.append(times)
+            more = times[:, -1] <= horizon
+            if not more.any():
+                break
+            own, t, done = own[more], times[more, -1], done + columns
+        names, times = np.concatenate([x.ravel() for x in name]), np.concatenate([x.ravel() for x in when])
+        near = times <= horizon
+        names, times = mix(names[near]), times[near]
+        if not whole:  # units that the weight fills in part only
+            names, times = _partly(key, room, k, horizon)
+        order = np.argsort(-times, kind="stable")
+        names = names[order]
+        out, got = np.zeros(k, np.uint64), np.zeros(k, bool)
+        at = ((names >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+        out[at], got[at] = names, True  # the last one, which is the earliest, stays
+        if got.all():
+            return out
+        horizon *= 2
+
+
+def _partly(key: np.ndarray, room: np.ndarray, k: int, horizon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Darts (names, times) of units of which only the lower part ``room`` counts."""
+    names, times, t, n = [], [], np.zeros(len(key)), 0
+    while len(key):
+        number = np.full(1, n, np.uint64)
+        t = t - np.log1p(-_uniform(key + (number + np.uint64(1)) * _GAP))
+        near = t <= horizon
+        key, room, t = key[near], room[near], t[near]
+        name = mix(key + number * _NAME)
+        low = _uniform(name + _UNIT) < room
+        names.append(name[low])
+        times.append(t[low])
+        n += 1
+    return np.concatenate(names), np.concatenate(times)
 
 
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -115,36 +141,95 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
     return docs.mapInArrow(run, "doc_id long, digest binary, weight long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b, a_digest, b_digest); texts: (doc_id, text), each text of an id once."""
-
-    def bag(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-        r = Rolled(words_of(text))
-        return (_digest(r.words, r.raw, text), *np.unique(r.shingles(width), return_counts=True))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, tuple] = {}
-        for x in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for a, b, da, db, ta, tb in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if ta not in kept:
-                    if len(kept) >= 16:
-                        kept.clear()
-                    kept[ta] = bag(ta)
-                (fa, ea, na), (fb, eb, nb) = kept[ta], bag(tb)
-                if (fa, fb) == (da, db):  # else it is another text of a repeated id
-                    _, i, j = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
-                    both = int(np.minimum(na[i], nb[j]).sum())
-                    for to, v in zip(out, (a, b, both / (int(na.sum()) + int(nb.sum()) - both)), strict=True):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
-
-    full = (
+def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, a_digest, b_digest) with both texts; texts: (doc_id, text), each text of an id once."""
+    return (
         pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
         .select("a", "b", "a_digest", "b_digest", "a_text", "b_text")
     )
-    return full.mapInArrow(run, "a long, b long, similarity double").distinct()
+
+
+def _compared(batches: Iterator[pa.RecordBatch], width: int, of) -> Iterator[list[tuple]]:
+    """``of`` the ids and units of both sides, for each pair of a batch; what has another digest is another text of a
+    repeated id and is left out."""
+    kept: dict[str, tuple] = {}
+
+    def bag(text: str) -> tuple[bytes, np.ndarray]:
+        r = Rolled(words_of(text))
+        return _digest(r.words, r.raw, text), np.sort(units_of(*np.unique(r.shingles(width), return_counts=True))[0])
+
+    for x in batches:
+        out = []
+        for a, b, da, db, ta, tb in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            if ta not in kept:
+                if len(kept) >= 16:
+                    kept.clear()
+                kept[ta] = bag(ta)
+            (fa, ua), (fb, ub) = kept[ta], bag(tb)
+            if (fa, fb) == (da, db):
+                out.append(of(a, b, ua, ub))
+        yield out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, similarity) of pairs, on the whole texts."""
+
+    def similarity(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple[int, int, float]:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return a, b, both / (len(x) + len(y) - both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _compared(batches, width, similarity):
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+
+    return _joined(pairs, texts).mapInArrow(run, "a long, b long, similarity double").distinct()
+
+
+def _differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, size, removed, added, units): the size of a, how many units b lacks and adds, and these units."""
+
+    def difference(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple:
+        less, more = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+        return a, b, len(x), len(less), len(more), np.concatenate([less, more]).view(np.int64)
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _compared(batches, width, difference):
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "size", "removed", "added", "units"])
+
+    return _joined(pairs, texts).mapInArrow(run, "a long, b long, size long, removed long, added long, units array<long>").dropDuplicates(["a", "b"])
+
+
+def _linkable(diff: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) that may be similar, of documents with known differences from one centre a.
+
+    With R the units of the centre C that a document lacks, A those that it adds, and o the units that two differences
+    have in common, sim(x, y) = (|C| - |Rx| - |Ry| + o) / (|C| + |Ax| + |Ay| - o).  Let g = t |A| + |R| for threshold t and
+    h = g - (1 - t) |C|.  A document is linked to the centre iff h <= 0, and sim(x, y) >= t asks for o >= (gx + hy) / (1 + t).
+    Of a pair that isn't linked by the centre let y have the larger g: then hy >= hx, and hy is at least the smallest h > 0
+    among the centre's documents, hmin.  So y holds one of any |Dx| - ceil((gx + max(hmin, hx)) / (1 + t)) + 1 units of
+    x's difference.  The rarest are taken, and those that no other
+    document has needn't be looked up: what is left of them meets the differences of the y with such a g.
+    """
+    d = diff.withColumn("g", threshold * F.col("added") + F.col("removed")).withColumn("h", F.col("g") - (1 - threshold) * F.col("size"))
+    d = d.withColumns({"far": F.col("h") > 1e-9, "all": F.size("units")})
+    # centres without a far document have no pair to look for
+    d = d.join(d.where("far").groupBy("a").agg(F.min("h").alias("hmin")), "a")
+    least = F.ceil((F.col("g") + F.greatest("hmin", "h")) / (1 + threshold) - 1e-9)
+    d = d.withColumn("wanted", (F.col("all") - least + 1).cast("int"))
+    unit = d.select("a", F.col("b").alias("x"), "far", "g", F.explode("units").alias("u"))
+    # a unit counts if a far document has it and another one too
+    often = unit.groupBy("a", "u").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).where("n > 1 AND n_far > 0").drop("n_far")
+    seen = cut(unit.join(often, ["a", "u"]))
+    # units without a second owner come first in the order, units without a far owner can't be met: both only use up places
+    rare = seen.groupBy("a", "x").agg(F.sort_array(F.collect_list(F.struct("n", "u"))).alias("us")).join(d.select("a", F.col("b").alias("x"), "g", "wanted", "all"), ["a", "x"])
+    look = rare.select("a", "x", "g", F.explode(F.slice("us", 1, F.greatest(F.lit(0), F.col("wanted") - (F.col("all") - F.size("us"))))).alias("s")).select("a", "x", "g", F.col("s.u").alias("u"))
+    met = look.join(seen.where("far").select("a", "u", F.col("x").alias("y"), F.col("g").alias("gy")), ["a", "u"]).where("x <> y AND gy >= g")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -180,38 +265,19 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: in
     links = tested.where(F.col("similarity") >= threshold)
     label = cut(components(links.select("a", "b")))
 
-    # what is left: members of one bucket in different components
-    near = (
-        star.join(tested.select("a", F.col("b").alias("rep"), "similarity"), ["a", "rep"], "left")
-        .join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select(
-            "bucket", "rep", "digest", "weight",
-            F.coalesce("component", "rep").alias("component"),
-            F.when(F.col("digest") == F.col("a_digest"), 0.0).otherwise(F.coalesce(1 - F.col("similarity"), 1 - F.col("bound"))).alias("from_centre"),
-            F.when(F.col("digest") == F.col("a_digest"), 0.0).otherwise(F.coalesce(1 - F.col("similarity"), F.lit(1.0))).alias("at_most"),
-        )
-    )
-    size = near.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = size.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = cut(near.join(main.select("bucket", F.col("m.component").alias("main")), "bucket"))
-    x, y = open_.where("component != main").alias("x"), open_.alias("y")
-    slack = 1 - threshold + 1e-9
+    # what is left: members of one bucket, other than its centre, in different components
+    part = F.coalesce("component", "rep")
+    near = star.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "a", "a_digest", "rep", "digest", part.alias("component"))
+    split = near.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo <> hi").select("bucket")
+    open_ = near.join(split, "bucket", "left_semi").where("a <> rep").select("a", F.col("rep").alias("b"), "a_digest", F.col("digest").alias("b_digest")).distinct()
+    maybe = _linkable(cut(_differences(open_, texts, width)), threshold)
+    who = reps.select("rep", "digest").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "digest", part.alias("component"))
     rest = (
-        x.join(y, F.col("x.bucket") == F.col("y.bucket"))
-        .where(F.col("x.component") != F.col("y.component"))
-        .where((F.col("y.component") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        .where(F.least("x.weight", "y.weight") >= threshold * F.greatest("x.weight", "y.weight"))
-        .where((F.col("x.from_centre") - F.col("y.at_most") <= slack) & (F.col("y.from_centre") - F.col("x.at_most") <= slack))
-        .where((F.col("x.from_centre") > 0) & (F.col("y.from_centre") > 0))  # pairs with the centre are done
-        .select(
-            F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"),
-            F.when(F.col("x.rep") < F.col("y.rep"), F.col("x.digest")).otherwise(F.col("y.digest")).alias("a_digest"),
-            F.when(F.col("x.rep") < F.col("y.rep"), F.col("y.digest")).otherwise(F.col("x.digest")).alias("b_digest"),
-        )
-        .distinct()
+        maybe.join(who.select(F.col("rep").alias("x"), F.col("digest").alias("a_digest"), F.col("component").alias("cx")), "x")
+        .join(who.select(F.col("rep").alias("y"), F.col("digest").alias("b_digest"), F.col("component").alias("cy")), "y")
+        .where("cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"), "a_digest", "b_digest")
     )
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(_verified(rest.join(done, ["a", "b"], "left_anti"), texts, width).where(F.col("similarity") >= threshold))
+    more = cut(_verified(rest, texts, width).where(F.col("similarity") >= threshold))
     if not more.isEmpty():
         label = cut(components(links.select("a", "b").union(more.select("a", "b"))))
 
