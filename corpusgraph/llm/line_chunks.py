@@ -5,16 +5,23 @@ A rolling hash over the hashes of the last ``window`` lines ends a chunk where i
 or taken out elsewhere don't shift them.  A chunk counts if it has several lines and something besides white space, or is
 such a long line.  Of equal chunks anywhere in the corpus the one of the smallest (id, position) stays.
 
-1. one pass emits (id, position, 64-bit hash) of each chunk; hashes met more than once are found by an aggregation with
+A chunk may straddle the edge of what is repeated, so chunks alone leave most short-lined passages in.  With ``run_words``
+every run of lines of more words that occurs at a smaller place too goes as a whole, wherever chunks end: the units are
+then also the shortest runs of more than ``run_words`` words from each line on and up to each line.  Any longer run is the
+union of such runs inside it (each of its lines ends one, or lies in the one that begins the run), so that equal units
+are all that has to be found.  Blank lines begin and end no run.
+
+1. one pass emits (id, position, 64-bit hash) of each unit; hashes met more than once are found by an aggregation with
    map-side combine;
-2. a second pass emits the bytes of chunks with such a hash only; they are grouped by hash *and* bytes, which is the
-   byte comparison: a collision of hashes removes nothing;
+2. a second pass emits the SHA-256 of units (over those of their lines, so that no line is read once for each unit) with
+   such a hash only; they are grouped by hash *and* digest: a collision of hashes removes nothing;
 3. the line ranges to remove, a short list for each document, go back to the texts: broadcast if their number is
    small, else with one shuffle of the texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +33,9 @@ from pyspark.sql import functions as F
 from corpusgraph.llm._common import BROADCAST_ROWS, cut, ship, small
 
 WINDOW, DIVISOR, LONG_WORDS = 2, 2, 25
-#: Bytes of repeated chunks, each once, that are broadcast at most.
+#: Repeated runs of lines with more words than that are removed whole.
+RUN_WORDS = 50
+#: Bytes of digests of repeated units, each once, that are broadcast at most.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -58,46 +67,111 @@ def _chunk(lines: list[bytes], begin: int, end: int, long: bool) -> tuple[int, i
     return begin, end - begin, whole, long or (end - begin > 1 and not whole.isspace() and bool(whole))
 
 
-def _emit(docs: DataFrame, with_bytes: bool, options: tuple[int, int, int]) -> DataFrame:
-    """(doc_id, th, pos, lines, h[, chunk]) of the chunks that count; docs: (doc_id, th, text)."""
+def runs_of(text: str, run_words: int = RUN_WORDS) -> set[tuple[int, int]]:
+    """(first line, lines) of the shortest runs of more than ``run_words`` words from each line on and up to each line."""
+    size = [(i, len(line.split())) for i, line in enumerate(text.split("\n"))]
+    size = [(i, n) for i, n in size if n]
+    out: set[tuple[int, int]] = set()
+    end = total = 0
+    for i, n in size:
+        while end < len(size) and total <= run_words:
+            total += size[end][1]
+            end += 1
+        if total <= run_words:
+            break
+        out.add((i, size[end - 1][0] + 1 - i))
+        total -= n
+    begin = total = 0
+    for i, n in size:
+        total += n
+        while total - size[begin][1] > run_words:
+            total -= size[begin][1]
+            begin += 1
+        if total > run_words:
+            out.add((size[begin][0], i + 1 - size[begin][0]))
+    return out
+
+
+def _units(text: str, chunks: bool, run_words: int, options: tuple[int, int, int]) -> list[tuple[int, int]]:
+    found = runs_of(text, run_words) if run_words else set()
+    if chunks:
+        found |= {(pos, n) for pos, n, _, counts in chunks_of(text, *options) if counts}
+    return sorted(found)
+
+
+def _emit(docs: DataFrame, with_digest: bool, chunks: bool, run_words: int, options: tuple[int, int, int]) -> DataFrame:
+    """(doc_id, th, pos, lines, h[, digest]) of the units; docs: (doc_id, th, text)."""
     ship(docs.sparkSession)
-    schema = "doc_id long, th long, pos int, lines int, h long" + ", chunk binary" * with_bytes
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()][: 5 + with_bytes]
-    names = ["doc_id", "th", "pos", "lines", "h", "chunk"][: 5 + with_bytes]
+    schema = "doc_id long, th long, pos int, lines int, h long" + ", digest binary" * with_digest
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()][: 5 + with_digest]
+    names = ["doc_id", "th", "pos", "lines", "h", "digest"][: 5 + with_digest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in types]
             for doc, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for pos, n, whole, counts in chunks_of(text, *options):
-                    if counts:
-                        h = xxhash.xxh64_intdigest(whole)
-                        for to, v in zip(cols, (doc, th, pos, n, h - (h >> 63 << 64), whole), strict=False):
-                            to.append(v)
+                units = _units(text, chunks, run_words, options)
+                if not units:
+                    continue
+                lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+                short = [xxhash.xxh64_digest(x) for x in lines]
+                whole = [hashlib.sha256(x).digest() for x in lines] if with_digest else []
+                for pos, n in units:
+                    h = xxhash.xxh64_intdigest(b"".join(short[pos : pos + n]))
+                    row = (doc, th, pos, n, h - (h >> 63 << 64), hashlib.sha256(b"".join(whole[pos : pos + n])).digest() if with_digest else b"")
+                    for to, v in zip(cols, row, strict=False):
+                        to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc_id, th, cuts): sorted line ranges (pos, lines) to remove from the text with hash ``th`` of a document."""
-    options = (window, divisor, long_words)
+def _joined(cuts: list[dict[str, int]]) -> list[dict[str, int]]:
+    """Sorted ranges, those that overlap as one."""
+    out: list[dict[str, int]] = []
+    for c in cuts:
+        if out and c["pos"] < out[-1]["pos"] + out[-1]["lines"]:
+            out[-1]["lines"] = max(out[-1]["lines"], c["pos"] + c["lines"] - out[-1]["pos"])
+        else:
+            out.append(dict(c))
+    return out
+
+
+def _join_ranges(gone: DataFrame) -> DataFrame:
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("lines", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cuts = pa.array([_joined(c) for c in b.column(2).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cuts], names=["doc_id", "th", "cuts"])
+
+    return gone.mapInArrow(run, "doc_id long, th long, cuts array<struct<pos:int,lines:int>>")
+
+
+def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS, run_words: int = 0, chunks: bool = True) -> DataFrame:
+    """(doc_id, th, cuts): sorted line ranges (pos, lines) to remove from the text with hash ``th`` of a document.
+
+    Without ``run_words`` only chunks are compared, without ``chunks`` only runs of more than ``run_words`` words.
+    """
+    how = (chunks, run_words, (window, divisor, long_words))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    again = cut(_emit(docs, False, options).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    found = cut(_emit(docs, True, options).join(small(again), "h", "left_semi"))
+    again = cut(_emit(docs, False, *how).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    found = cut(_emit(docs, True, *how).join(small(again), "h", "left_semi"))
     at = F.struct("doc_id", "th", "pos")
-    first = cut(found.groupBy("h", "chunk").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    # the places of one chunk may be a third of all: they stay where they are if the chunks are few, else Spark splits them
-    size = first.agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("bytes")).first()
+    first = cut(found.groupBy("h", "digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # the places of one unit may be a third of all: they stay where they are if the units are few, else Spark splits them
+    size = first.agg(F.count("*").alias("n"), F.sum(F.length("digest")).alias("bytes")).first()
     few = size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
-    gone = found.join(F.broadcast(first) if few else first, ["h", "chunk"]).where(at != F.col("first"))
-    return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "lines"))).alias("cuts"))
+    gone = found.join(F.broadcast(first) if few else first, ["h", "digest"]).where(at != F.col("first"))
+    return _join_ranges(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "lines"))).alias("cuts")))
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", cuts: str | None = None, **options) -> DataFrame:
     """``df`` with the repeated chunks removed from ``text``; ``cuts`` names a column for the removed line ranges.
 
+    ``run_words=RUN_WORDS`` removes repeated runs of lines as a whole besides (see ``removals``).
+
     Rows with a null id or a null text stay as they are and take no part.  A text of which nothing is left becomes
     empty.  Repeated rows (same id and text) count as one place and get the same result.  All columns stay.
     """

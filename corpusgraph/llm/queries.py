@@ -66,7 +66,7 @@ ORACLES["op6_fingerprints"] = fingerprints.ORACLE
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest columns of the texts after removal: nothing but the ranges and hashes is written."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_chunks.remove_repeated(docs, cuts="cuts")
+    out = line_chunks.remove_repeated(docs, cuts="cuts", run_words=line_chunks.RUN_WORDS)
     cuts = F.coalesce("cuts", F.array().cast("array<struct<pos:int,lines:int>>"))
     return out.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
