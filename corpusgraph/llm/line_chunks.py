@@ -1,16 +1,19 @@
 """Line dedup over content-defined chunks of lines.
 
 A rolling hash over the hashes of the last ``window`` lines ends a chunk where it is divisible by ``divisor``; a line of
-``long_words`` words or more is a chunk by itself.  Boundaries depend on the lines around them only, so that lines put in
+``long_words`` words or ``LONG_CHARS`` characters or more is a chunk by itself.  Boundaries depend on the lines around them only, so that lines put in
 or taken out elsewhere don't shift them.  A chunk counts if it has several lines and something besides white space, or is
 such a long line.  Of equal chunks anywhere in the corpus the one of the smallest (id, position) stays.
 
 A chunk may straddle the edge of what is repeated, so chunks alone leave most short-lined passages in.  With ``run_words``
-every run of lines of more words that occurs at a smaller place too goes as a whole, wherever chunks end: the units are
-then also the shortest runs of more than ``run_words`` words from each line on and up to each line.  Any longer run is the
+every run of lines of more words, or of ``RUN_CHARS`` characters or more, that occurs at a smaller place too goes as a whole, wherever chunks end: the units are
+then also the shortest such runs from each line on and up to each line.  Any longer run is the
 union of such runs inside it (each of its lines ends one, or lies in the one that begins the run), so that equal units
 are all that has to be found.  Blank lines begin and end no run.
 
+Words are parted by Unicode white space; characters are code points, counted without white space at a line's ends.  They
+stand for words in scripts that are written without spaces.
+
 1. one pass emits (id, position, 64-bit hash) of each unit; hashes met more than once are found by an aggregation with
    map-side combine;
 2. a second pass emits the SHA-256 of units (over those of their lines, so that no line is read once for each unit) with
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 from corpusgraph.llm._common import BROADCAST_ROWS, cut, ship, small
 
 WINDOW, DIVISOR, LONG_WORDS = 2, 2, 25
-#: Repeated runs of lines with more words than that are removed whole.
-RUN_WORDS = 50
+#: A line with as many characters is long, however few words it has.
+LONG_CHARS = 120
+#: Repeated runs of lines with more words than that, or with as many characters, are removed whole.
+RUN_WORDS, RUN_CHARS = 50, 240
 #: Bytes of digests of repeated units, each once, that are broadcast at most.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -42,10 +47,11 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 def chunks_of(text: str, window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes, bool]]:
     """(first line, lines, bytes, counts) of the chunks of a text; joined by line feeds they are the text."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    sizes = [_size(line) for line in text.split("\n")]
     out: list[tuple[int, int, bytes, bool]] = []
     begin, hashes = 0, [0] * window
     for i, line in enumerate(lines):
-        long = line.count(b" ") >= long_words - 1 and len(line.split()) >= long_words
+        long = sizes[i][0] >= long_words or sizes[i][1] >= LONG_CHARS
         if long and begin < i:
             out.append(_chunk(lines, begin, i, False))
             begin = i
@@ -62,32 +68,44 @@ def chunks_of(text: str, window: int = WINDOW, divisor: int = DIVISOR, long_word
     return out
 
 
+def _size(line: str) -> tuple[int, int]:
+    """Words and characters of a line."""
+    return len(line.split()), len(line.strip())
+
+
 def _chunk(lines: list[bytes], begin: int, end: int, long: bool) -> tuple[int, int, bytes, bool]:
     whole = b"\n".join(lines[begin:end])
     return begin, end - begin, whole, long or (end - begin > 1 and not whole.isspace() and bool(whole))
 
 
 def runs_of(text: str, run_words: int = RUN_WORDS) -> set[tuple[int, int]]:
-    """(first line, lines) of the shortest runs of more than ``run_words`` words from each line on and up to each line."""
-    size = [(i, len(line.split())) for i, line in enumerate(text.split("\n"))]
-    size = [(i, n) for i, n in size if n]
+    """(first line, lines) of the shortest runs that are large enough, from each line on and up to each line.
+
+    A run is large enough with more than ``run_words`` words or with ``RUN_CHARS`` characters.
+    """
+    size = [(i, *_size(line)) for i, line in enumerate(text.split("\n"))]
+    size = [x for x in size if x[1]]
     out: set[tuple[int, int]] = set()
-    end = total = 0
-    for i, n in size:
-        while end < len(size) and total <= run_words:
-            total += size[end][1]
+    end = words = chars = 0
+    for i, w, c in size:
+        while end < len(size) and words <= run_words and chars < RUN_CHARS:
+            words += size[end][1]
+            chars += size[end][2]
             end += 1
-        if total <= run_words:
+        if words <= run_words and chars < RUN_CHARS:
             break
         out.add((i, size[end - 1][0] + 1 - i))
-        total -= n
-    begin = total = 0
-    for i, n in size:
-        total += n
-        while total - size[begin][1] > run_words:
-            total -= size[begin][1]
+        words -= w
+        chars -= c
+    begin = words = chars = 0
+    for i, w, c in size:
+        words += w
+        chars += c
+        while words - size[begin][1] > run_words or chars - size[begin][2] >= RUN_CHARS:
+            words -= size[begin][1]
+            chars -= size[begin][2]
             begin += 1
-        if total > run_words:
+        if words > run_words or chars >= RUN_CHARS:
             out.add((size[begin][0], i + 1 - size[begin][0]))
     return out
 
@@ -151,7 +169,7 @@ def _join_ranges(gone: DataFrame) -> DataFrame:
 def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS, run_words: int = 0, chunks: bool = True) -> DataFrame:
     """(doc_id, th, cuts): sorted line ranges (pos, lines) to remove from the text with hash ``th`` of a document.
 
-    Without ``run_words`` only chunks are compared, without ``chunks`` only runs of more than ``run_words`` words.
+    Without ``run_words`` only chunks are compared, without ``chunks`` only runs (see ``runs_of``).
     """
     how = (chunks, run_words, (window, divisor, long_words))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")

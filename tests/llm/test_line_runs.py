@@ -13,7 +13,7 @@ from corpusgraph.llm.queries import QUERIES
 
 
 def brute_runs(docs, words=line_chunks.RUN_WORDS):
-    """Texts without the lines of any run of more than ``words`` words that also stands at a smaller (id, line)."""
+    """Texts without the lines of any run of more than ``words`` words or 240 characters that also stands at a smaller (id, line)."""
     lines = [(d, t.split("\n")) for d, t in sorted(docs)]
     out = {}
     for k, (d, own) in enumerate(lines):
@@ -24,7 +24,7 @@ def brute_runs(docs, words=line_chunks.RUN_WORDS):
                     n = 0
                     while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
                         n += 1
-                    if len(" ".join(own[i : i + n]).split()) > words:
+                    if len(" ".join(own[i : i + n]).split()) > words or sum(len(x.strip()) for x in own[i : i + n]) >= line_chunks.RUN_CHARS:
                         gone |= set(range(i, i + n))
         out[d] = "\n".join(x for i, x in enumerate(own) if i not in gone)
     return out
@@ -74,3 +74,25 @@ def test_pipeline_leaves_no_repeated_passage(spark, tmp_path):
         out = spark.read.parquet(f"{tmp_path}/{k}")
     got = {x.doc_id: (x.text, x.n_chars) for x in out.collect()}
     assert got == {d: (x, len(x)) for d, t in docs for x in ["\n".join(t.split("\n")[:: t.count("\n")]) if d % 2 else t]}
+
+
+WORDS = [f"w{i}" for i in range(30)]
+HAN = "".join(chr(0x4E00 + 7 * i) for i in range(130))
+
+
+@pytest.mark.parametrize("line", ["\t".join(WORDS), "\u00a0".join(WORDS), "\u3000".join(WORDS), HAN], ids=["tabs", "no-break", "ideographic", "han"])
+def test_long_lines_without_spaces(spark, line):
+    docs = [(i, f"before {i}\n{line}\nafter {i}") for i in range(6)]
+    got = {x.doc_id: x.text for x in line_chunks.remove_repeated(frame(spark, docs)).collect()}
+    assert got == {i: t if i == 0 else f"before {i}\nafter {i}" for i, t in docs}
+
+
+def test_short_lines_without_spaces(spark):
+    lines = [HAN[k : k + 30] for k in range(0, 100, 10)]
+    docs = [(i, "\n".join([f"before {i}", *lines, f"after {i}"])) for i in range(3)]
+    got = {x.doc_id: x.text for x in line_chunks.remove_repeated(frame(spark, docs), run_words=line_chunks.RUN_WORDS).collect()}
+    assert got == {i: t if i == 0 else f"before {i}\nafter {i}" for i, t in docs}
+
+
+def test_blank_lines_are_never_long():
+    assert [c[3] for c in line_chunks.chunks_of(" " * 500)] == [False] and line_chunks.runs_of("\n".join([" " * 500] * 9)) == set()
