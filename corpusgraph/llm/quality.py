@@ -46,6 +46,8 @@ def features(text: str = "text") -> list[Column]:
 class Model:
     weights: tuple[float, ...]
     bias: float
+    #: Whether rows of both classes were there; if not, every document is kept.
+    fitted: bool = True
 
     def logit(self, x: Column) -> Column:
         """``x``: an array column of the features, so that they are computed once for a row."""
@@ -58,7 +60,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
     Without rows of both classes the evidence is 0 for every document.
     """
     if len(y) == 0 or y.min() == y.max():
-        return Model((0.0,) * x.shape[1], 0.0)
+        return Model((0.0,) * x.shape[1], 0.0, fitted=False)
     mean, scale = x.mean(0), x.std(0)
     scale[scale == 0] = 1
     z = np.column_stack([(x - mean) / scale, np.ones(len(y))])
@@ -82,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     x = F.array(*[f.cast("double") for f in features(text)])
     got = docs.join(F.broadcast(sample), F.col(id_col).cast("long") == F.col("__id")).select(x.alias("x"), "__y").limit(2 * rows).toPandas()
     if got.empty:
-        return Model((0.0,) * len(features(text)), 0.0)
+        return Model((0.0,) * len(features(text)), 0.0, fitted=False)
     return fit_logistic(np.stack(got["x"].map(np.asarray)), (got["__y"] >= 0.5).to_numpy().astype(float))
 
 
@@ -134,7 +136,7 @@ def scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """doc_id, evidence, host_rate, path_rate, quality (probability), keep: one row per row of ``df``.
 
     Null texts count as empty; a null host or path is a site of its own; a null id has no label.  Labels of one id are
-    averaged.  Without labels of both classes the evidence is 0 and every document is kept.  Repeated rows give repeated
+    averaged.  Without labelled rows of both classes the evidence is 0, sites add nothing and every document is kept.  Repeated rows give repeated
     rows and count as often in their site.  Other columns aren't read; an empty table gives an empty table.
     """
     model = fit(df, labels, id_col, text, label, rows)
@@ -142,7 +144,7 @@ def scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     raw = df.select(F.col(id_col).cast("long").alias("doc_id"), *_site(df, host, list(path)), x.alias("x"))
     own = cut(raw.select("doc_id", "host", "path", model.logit(F.col("x")).alias("evidence")))
     post, rate = _posteriors(own, labels, id_col, label)
-    return own.join(small(post), ["host", "path"]).select("doc_id", *_decision(rate, keep_from))
+    return own.join(small(post), ["host", "path"]).select("doc_id", *_decision(rate, keep_from, model.fitted))
 
 
 def _posteriors(own: DataFrame, labels: DataFrame, id_col: str, label: str) -> tuple[DataFrame, float]:
@@ -152,9 +154,10 @@ def _posteriors(own: DataFrame, labels: DataFrame, id_col: str, label: str) -> t
     return cut(post), rate
 
 
-def _decision(rate: float, keep_from: float) -> list[Column]:
-    p = _probability(F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(rate)))
-    return [*(F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate")), F.round(p, 6).alias("quality"), (p >= keep_from).alias("keep")]
+def _decision(rate: float, keep_from: float, fitted: bool) -> list[Column]:
+    # labels of one class tell sites apart by how many of their rows are labelled, not by their quality
+    p = _probability(F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(rate)) if fitted else F.col("evidence"))
+    return [*(F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate")), F.round(p, 6).alias("quality"), (p >= keep_from if fitted else F.lit(True)).alias("keep")]
 
 
 def kept(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", path: tuple[str, ...] = ("lang",), label: str = "quality", rows: int = SAMPLE_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -163,6 +166,8 @@ def kept(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "
     Texts aren't shuffled while the sites are few enough to broadcast: their features are computed again instead.
     """
     model = fit(df, labels, id_col, text, label, rows)
+    if not model.fitted:
+        return df.select(*df.columns)
     x = F.array(*[f.cast("double") for f in features(text)])
     own = cut(df.select(F.col(id_col).cast("long").alias("doc_id"), *_site(df, host, list(path)), x.alias("x")).select("doc_id", "host", "path", model.logit(F.col("x")).alias("evidence")))
     post, rate = _posteriors(own, labels, id_col, label)
