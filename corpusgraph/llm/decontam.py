@@ -32,7 +32,7 @@ BLOCK_WORDS = 1_000_000
 class ItemIndex:
     """Hashes of the items' runs of words: ``seed`` long, or as long as the item if it is shorter."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], seed: int) -> None:
         self.seed, self.ids, self.words, self.part = seed, [], [], {}
         rows: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for item, text in items:
@@ -49,8 +49,15 @@ class ItemIndex:
             order = np.argsort(h, kind="stable")
             self.part[n] = (h[order], which[order], at[order])
 
-    def coverage(self, text: str) -> dict[int, float]:
-        """Share of each item's words that tiles of the text cover, for items with a shared seed."""
+    def coverage(self, text: str) -> dict[int | None, float]:
+        """Share of each item's words that tiles of the text cover, for item ids with a shared seed: the best of an id."""
+        out: dict[int | None, float] = {}
+        for i, c in self.by_number(text).items():
+            out[self.ids[i]] = max(c, out.get(self.ids[i], 0.0))
+        return out
+
+    def by_number(self, text: str) -> dict[int, float]:
+        """The same for each item by its place in ``ids``, so that items without an id stay apart."""
         r, out = Rolled(words_of(text)), {}
         for n, (hashes, which, at) in self.part.items():
             own = r.runs(n)
@@ -65,7 +72,7 @@ class ItemIndex:
                     seeds[which[k]].append((d, int(at[k])))
             for i, places in seeds.items():
                 words = self.words[i]
-                out[self.ids[i]] = max(out.get(self.ids[i], 0.0), tiled(r.words, words, places, n) / len(words))
+                out[int(i)] = tiled(r.words, words, places, n) / len(words)
         return out
 
 
@@ -105,25 +112,29 @@ def tiled(text: list[str], item: list[str], places: list[tuple[int, int]], least
     return covered
 
 
-def _blocks(items: DataFrame, id_col: str, text: str, words: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most about ``words`` words (at least one item); items without id or text are left out."""
-    items = items.select(F.col(id_col).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+def _blocks(items: DataFrame, id_col: str, text: str, words: int, unnamed: bool) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in blocks of at most about ``words`` words (at least one item); items without a text are left out.
+
+    Items without an id are left out too, unless ``unnamed`` is set.
+    """
+    items = items.select(F.col(id_col).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").distinct()
+    items = items if unnamed else items.where("i IS NOT NULL")
     chars = items.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0
     n = int(chars // (2 * words)) + 1  # a word has two characters at least, with what separates it
     for k in range(n):
         yield [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
-def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
+def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
     """One row per row of ``df``: doc_id, n_words, and matches, an array of (item_id, coverage) with a shared seed.
 
     Null texts count as empty: no words, no matches.  Items without words match nothing.  An item id with several texts
-    has the best coverage of them.  A null id stays null.  Repeated rows give repeated rows.  Other columns aren't read.
+    has the best coverage of them.  With ``unnamed``, items without an id count each by itself, with a null item_id, after the others.  A null id stays null.  Repeated rows give repeated rows.  Other columns aren't read.
     """
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    shared = [spark.sparkContext.broadcast(ItemIndex(b, seed)) for b in _blocks(items, item_id, item_text, block_words)]
+    shared = [spark.sparkContext.broadcast(ItemIndex(b, seed)) for b in _blocks(items, item_id, item_text, block_words, unnamed)]
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +142,15 @@ def matches(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
             n, found = [], []
             for t in b.column(1).to_pylist():
                 got: dict[int, float] = {}
+                unnamed: list[float] = []
                 for s in shared:
-                    for i, c in s.value.coverage(t).items():
-                        got[i] = max(c, got.get(i, 0.0))
+                    for k, c in s.value.by_number(t).items():
+                        if (i := s.value.ids[k]) is None:
+                            unnamed.append(c)
+                        else:
+                            got[i] = max(c, got.get(i, 0.0))
                 n.append(len(words_of(t)))
-                found.append([{"item_id": i, "coverage": c} for i, c in sorted(got.items())])
+                found.append([{"item_id": i, "coverage": c} for i, c in [*sorted(got.items()), *((None, c) for c in sorted(unnamed))]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_words", "matches"])
 
     return docs.mapInArrow(run, "doc_id long, n_words long, matches array<struct<item_id:long,coverage:double>>")
@@ -153,10 +168,13 @@ def report(df: DataFrame, items: DataFrame, coverage: float = COVERAGE, **option
     )
 
 
-def clean(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``df`` that no item contaminates, with all their columns; a row is judged by its text alone."""
+def clean(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = SEED, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS, unnamed: bool = False) -> DataFrame:
+    """The rows of ``df`` that no item contaminates, with all their columns; a row is judged by its text alone.
+
+    ``unnamed`` takes the items without an id too.
+    """
     ship(df.sparkSession)
-    shared = [df.sparkSession.sparkContext.broadcast(ItemIndex(b, seed)) for b in _blocks(items, item_id, item_text, block_words)]
+    shared = [df.sparkSession.sparkContext.broadcast(ItemIndex(b, seed)) for b in _blocks(items, item_id, item_text, block_words, unnamed)]
 
     @F.pandas_udf("boolean")
     def bad(texts):

@@ -76,7 +76,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 @query
