@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of narrow rows that is ever broadcast; beyond it a shuffled join is used.
 BROADCAST_ROWS = 500_000
+#: And their bytes at most.
+BROADCAST_BYTES = 32 * 1024 * 1024
 #: Bytes of one Arrow batch handed to a Python worker, so that very long texts don't pile up in one batch.
 BATCH_BYTES = 4 * 1024 * 1024
 
@@ -35,24 +38,52 @@ def ship(spark: SparkSession) -> None:
     sc._corpusgraph_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    A folder of our own is set only where the session has none, as in local tests.
+    Only a local master gets a folder of our own where it is unset; a cluster would lose what is written there.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if not where:
+        found = sc._jsc.sc().getCheckpointDir()
+        where = str(Path(found.get()).parent) if found.isDefined() else ""
+    if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        where = sc._corpusgraph_shared = getattr(sc, "_corpusgraph_shared", None) or tempfile.mkdtemp(prefix="corpusgraph-checkpoint-")
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpusgraph-checkpoint-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows, else as it is (shuffled join)."""
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames made by ``cut`` that nothing will read again."""
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def text_of(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def delete_folder(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows and ``size`` bytes, else as it is.
+
+    The bytes are those of strings, binaries and arrays, and 16 for every other column.
+    """
+    wide = [F.octet_length(F.col(c)) if k in ("string", "binary") else F.size(c) * 16 if k.startswith("array") else None for c, k in df.dtypes]
+    each = sum((F.coalesce(x, F.lit(0)) for x in wide if x is not None), F.lit(16 * len(wide)))
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(each.cast("long")).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= rows and (got["b"] or 0) <= size else df

@@ -15,8 +15,11 @@ costs one hash for each shingle and a few for each dart, not k for each shingle.
 4. pairs are verified exactly on the whole texts; connected components are formed of those with similarity >= 0.8;
 5. members of a bucket that are still in different components are looked at again, by how they differ from the bucket's
    centre: two of them can only be similar if their differences share many units, which a prefix filter over the rare
-   ones finds (see ``_linkable``).  What it finds is verified exactly.  No link between documents that share a bucket is
-   lost, and the pairs inside a component, which can't change it, are never made.
+   ones with the places of both sides in it finds (see ``_linkable``).  What it finds is verified exactly.  No link
+   between documents that share a bucket is lost, and pairs inside a component, which can't change it, are never made.
+
+A centre's text goes once to each group of GROUP of its pairs, which are dealt by (centre, group), so that the pairs of
+a hot centre are many tasks' work and no row holds two texts.
 
 30 bands of 5 coordinates: a pair of similarity 0.8 shares no bucket with probability 7e-6.
 """
@@ -31,12 +34,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from corpusgraph.llm._common import cut, ship, small
+from corpusgraph.llm._common import cut, release, ship, small
 from corpusgraph.llm.components import components
 from corpusgraph.llm.shingles import Rolled, mix, words_of
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
+#: Pairs of a centre that are compared in one task.
+GROUP = 128
+#: Names of columns that stand beside those of a caller's table.
+ID, HASH, TIMES = "__neardup_id", "__neardup_hash", "__neardup_times"
 _GAP, _NAME, _UNIT = (np.uint64(x) for x in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407))
 
 
@@ -120,13 +128,13 @@ def _digest(words: list[str], raw: bytes, text: str) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, digest, weight, bands) of each row of (doc_id, text)."""
+    """(doc_id, th, digest, weight, bands) of each row of (doc_id, th, text)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, weights, hashes = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 text = t.as_py() or ""
                 r = Rolled(words_of(text))
                 digests.append(_digest(r.words, r.raw, text))
@@ -134,57 +142,55 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
                 weights.append(int(n.sum()))
                 hashes.append(band_hashes(dart_signature(e, n.astype(np.float64), bands * rows), bands, rows) if len(e) else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "weight", "bands"],
+                [b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["doc_id", "th", "digest", "weight", "bands"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, weight long, bands array<long>")
-
-
-def _joined(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, a_digest, b_digest) with both texts; texts: (doc_id, text), each text of an id once."""
-    return (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-        .select("a", "b", "a_digest", "b_digest", "a_text", "b_text")
-    )
-
+    return docs.mapInArrow(run, "doc_id long, th long, digest binary, weight long, bands array<long>")
 
-def _compared(batches: Iterator[pa.RecordBatch], width: int, of) -> Iterator[list[tuple]]:
-    """``of`` the ids and units of both sides, for each pair of a batch; what has another digest is another text of a
-    repeated id and is left out."""
-    kept: dict[str, tuple] = {}
 
-    def bag(text: str) -> tuple[bytes, np.ndarray]:
-        r = Rolled(words_of(text))
-        return _digest(r.words, r.raw, text), np.sort(units_of(*np.unique(r.shingles(width), return_counts=True))[0])
+def _against(pairs: DataFrame, texts: DataFrame, width: int, schema: str, of) -> DataFrame:
+    """``of(a, b, units of a, units of b)``, a row of ``schema`` or None, for each of the pairs (a, b); texts: (node, text).
 
-    for x in batches:
-        out = []
-        for a, b, da, db, ta, tb in zip(*(c.to_pylist() for c in x.columns), strict=True):
-            if ta not in kept:
-                if len(kept) >= 16:
-                    kept.clear()
-                kept[ta] = bag(ta)
-            (fa, ua), (fb, ub) = kept[ta], bag(tb)
-            if (fa, fb) == (da, db):
-                out.append(of(a, b, ua, ub))
-        yield out
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, similarity) of pairs, on the whole texts."""
+    The pairs of a centre a are cut into groups of about GROUP.  Each group gets the centre's text once, as its first
+    row, and then one text for each pair, so that a task holds two texts at a time.
+    """
+    hot = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("a", F.ceil(F.col("n") / GROUP).alias("groups"))
+    dealt = pairs.join(small(cut(hot)), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")), F.lit(0)).alias("part"))
+    sides = dealt.select(F.col("b").alias("node"), "a", "part", F.lit(1).alias("side")).union(dealt.select(F.col("a").alias("node"), "a", "part", F.lit(0).alias("side")).distinct())
+    rows = sides.join(texts, "node").select("a", "part", "side", F.col("node").alias("b"), "text").repartition("a", "part").sortWithinPartitions("a", "part", "side")
+    kinds = pa.schema(pa.field(f.name, {"bigint": pa.int64(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.list_(pa.int64()))) for f in StructType.fromDDL(schema))
 
-    def similarity(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple[int, int, float]:
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return a, b, both / (len(x) + len(y) - both)
+    def bag(text: str) -> np.ndarray:
+        return np.sort(units_of(*np.unique(Rolled(words_of(text)).shingles(width), return_counts=True))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _compared(batches, width, similarity):
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+        group, centre = None, np.zeros(0, np.uint64)
+        for x in batches:
+            out = []
+            for a, part, side, b, text in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if side == 0:
+                    group, centre = (a, part), bag(text)
+                elif group != (a, part):
+                    raise RuntimeError("pairs without their centre")
+                else:
+                    row = of(a, b, centre, bag(text))
+                    if row is not None:
+                        out.append(row)
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Those pairs (a, b) whose similarity on the whole texts is ``threshold`` or more."""
+
+    def linked(a: int, b: int, x: np.ndarray, y: np.ndarray) -> tuple | None:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return (a, b) if both / (len(x) + len(y) - both) >= threshold else None
 
-    return _joined(pairs, texts).mapInArrow(run, "a long, b long, similarity double").distinct()
+    return _against(pairs, texts, width, "a long, b long", linked)
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -194,102 +200,109 @@ def _differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         less, more = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
         return a, b, len(x), len(less), len(more), np.concatenate([less, more]).view(np.int64)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _compared(batches, width, difference):
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "size", "removed", "added", "units"])
-
-    return _joined(pairs, texts).mapInArrow(run, "a long, b long, size long, removed long, added long, units array<long>").dropDuplicates(["a", "b"])
+    return _against(pairs, texts, width, "a long, b long, size long, removed long, added long, units array<long>", difference)
 
 
 def _linkable(diff: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) that may be similar, of documents with known differences from one centre a.
-
-    With R the units of the centre C that a document lacks, A those that it adds, and o the units that two differences
-    have in common, sim(x, y) = (|C| - |Rx| - |Ry| + o) / (|C| + |Ax| + |Ay| - o).  Let g = t |A| + |R| for threshold t and
-    h = g - (1 - t) |C|.  A document is linked to the centre iff h <= 0, and sim(x, y) >= t asks for o >= (gx + hy) / (1 + t).
-    Of a pair that isn't linked by the centre let y have the larger g: then hy >= hx, and hy is at least the smallest h > 0
-    among the centre's documents, hmin.  So y holds one of any |Dx| - ceil((gx + max(hmin, hx)) / (1 + t)) + 1 units of
-    x's difference.  The rarest are taken, and those that no other
-    document has needn't be looked up: what is left of them meets the differences of the y with such a g.
+    """Pairs (a, b) that may be similar, of documents with known differences from one centre and in different components.
+
+    diff: (a, b, component, size, removed, added, units).  With R the units of the centre C that a document lacks, A those
+    that it adds, and o the units that two differences have in common,
+    sim(x, y) = (|C| - |Rx| - |Ry| + o) / (|C| + |Ax| + |Ay| - o).  Let g = t |A| + |R| for threshold t: sim(x, y) >= t
+    asks for o >= (gx + gy - (1 - t) |C|) / (1 + t), and a document is linked to the centre iff g <= (1 - t) |C|.  Documents
+    linked to it are in its component, so of a pair to be found the one with the larger g is *far*: not linked to it.
+
+    A unit can only be common to a pair if a far document has it, another one too, and not all in one component.  Such
+    units are put in one order for the centre, rarest first.  If a pair's first common unit is at place i of the c units
+    of x and at place j of the d units of y, then o <= min(c - i, d - j).  So each side has a largest g that the other one
+    may have at that place, and both must allow it.
     """
-    d = diff.withColumn("g", threshold * F.col("added") + F.col("removed")).withColumn("h", F.col("g") - (1 - threshold) * F.col("size"))
-    d = d.withColumns({"far": F.col("h") > 1e-9, "all": F.size("units")})
+    d = diff.withColumn("far", F.col("added") * threshold + F.col("removed") > (1 - threshold) * F.col("size") + 1e-9)
+    d = d.withColumn("g", threshold * F.col("added") + F.col("removed"))
     # centres without a far document have no pair to look for
-    d = d.join(d.where("far").groupBy("a").agg(F.min("h").alias("hmin")), "a")
-    least = F.ceil((F.col("g") + F.greatest("hmin", "h")) / (1 + threshold) - 1e-9)
-    d = d.withColumn("wanted", (F.col("all") - least + 1).cast("int"))
-    unit = d.select("a", F.col("b").alias("x"), "far", "g", F.explode("units").alias("u"))
-    # a unit counts if a far document has it and another one too
-    often = unit.groupBy("a", "u").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).where("n > 1 AND n_far > 0").drop("n_far")
-    seen = cut(unit.join(often, ["a", "u"]))
-    # units without a second owner come first in the order, units without a far owner can't be met: both only use up places
-    rare = seen.groupBy("a", "x").agg(F.sort_array(F.collect_list(F.struct("n", "u"))).alias("us")).join(d.select("a", F.col("b").alias("x"), "g", "wanted", "all"), ["a", "x"])
-    look = rare.select("a", "x", "g", F.explode(F.slice("us", 1, F.greatest(F.lit(0), F.col("wanted") - (F.col("all") - F.size("us"))))).alias("s")).select("a", "x", "g", F.col("s.u").alias("u"))
-    met = look.join(seen.where("far").select("a", "u", F.col("x").alias("y"), F.col("g").alias("gy")), ["a", "u"]).where("x <> y AND gy >= g")
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Each text of the named ids once; only those texts are shuffled if the ids are few enough to broadcast."""
-    found = docs.join(small(ids), "doc_id", "left_semi")
-    by_id = found.withColumn("__h", F.xxhash64("text")).groupBy("doc_id", "__h").agg(F.first("text").alias("text"))
-    return cut(by_id.drop("__h"))
-
-
-def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id): one row per row of ``df``; class_id is the smallest id of the near-duplicate class.
-
-    Null texts count as empty.  Texts without words are alike only if they are equal.  A text of fewer than ``width``
-    words has one shingle of all its words.  A row without id gets the class null and is compared with nothing.
-    Repeated rows get equal rows.  Other columns are not read.  An empty table gives an empty table.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    d = d.join(d.groupBy("a").agg(F.min("g").alias("g_low"), F.max(F.when(F.col("far"), F.col("g"))).alias("g_high")).where("g_high IS NOT NULL"), "a")
+    d = d.withColumn("room", (1 - threshold) * F.col("size") - F.col("g") + 1e-6)
+    unit = d.select("a", F.col("b").alias("x"), "component", "far", "g", "g_low", "g_high", "room", F.explode("units").alias("u"))
+    often = unit.groupBy("a", "u").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 1 AND n_far > 0 AND lo <> hi").select("a", "u", "n")
+    listed = unit.join(often, ["a", "u"]).groupBy("a", "x", "component", "far", "g", "g_low", "g_high", "room").agg(F.sort_array(F.collect_list(F.struct("n", "u"))).alias("us"))
+    placed = listed.select("a", "x", "component", "far", "g", "g_low", "g_high", "room", F.size("us").alias("c"), F.posexplode("us").alias("i", "s"))
+    placed = placed.select("a", "x", "component", "far", "g", "g_low", "g_high", F.col("s.u").alias("u"), ((1 + threshold) * (F.col("c") - F.col("i")) + F.col("room")).alias("most"))
+    placed = cut(placed.where("most >= g_low"))
+    # the one with the smaller g looks up far ones with a g between its own and the most that its place allows
+    look = placed.where("most >= g AND g <= g_high").select("a", "u", "x", F.col("component").alias("cx"), F.col("g").alias("gx"), F.col("most").alias("most_x"))
+    held = placed.where("far").select("a", "u", F.col("x").alias("y"), F.col("component").alias("cy"), F.col("g").alias("gy"), F.col("most").alias("most_y"))
+    met = look.join(held, ["a", "u"]).where("cx <> cy AND gy >= gx AND gy <= most_x AND gx <= most_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _classes(df: DataFrame, id_col: str, text: str, width: int, bands: int, rows: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, class_id) of ``df`` with an id, th a hash of the text, and the (doc_id, th) that stands for each class."""
+    docs = df.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
     sig = cut(signatures(docs, width, bands, rows))
-    known = sig.where("doc_id IS NOT NULL")
-    reps = cut(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands")))
+    # texts of the same words are one node; it is represented by its smallest (id, hash), as one id may have several texts
+    reps = sig.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
+    sig = sig.select("doc_id", "th", "digest")
 
-    member = reps.select("rep", "digest", "weight", F.explode("bands").alias("bucket"))
+    member = reps.select("node", "weight", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(member.join(shared, "bucket"))
-    busy = met.groupBy("digest").agg(F.sum(F.col("n") - 1).alias("busy"))
-    centre = met.join(busy, "digest").groupBy("bucket").agg(F.max(F.struct("busy", -F.col("rep"), "digest", "rep", "weight")).alias("c"))
-    star = met.join(centre, "bucket").select("bucket", "rep", "digest", "weight", F.col("c.rep").alias("a"), F.col("c.digest").alias("a_digest"), F.col("c.weight").alias("a_weight"))
-    star = cut(star.withColumn("bound", F.least("weight", "a_weight") / F.greatest("weight", "a_weight")))
-    pairs = star.where((F.col("digest") != F.col("a_digest")) & (F.col("bound") >= threshold)).select("a", F.col("rep").alias("b"), "a_digest", F.col("digest").alias("b_digest")).distinct()
-    texts = _texts(docs, met.select(F.col("rep").alias("doc_id")).distinct())
-    tested = cut(_verified(pairs, texts, width))
-
-    links = tested.where(F.col("similarity") >= threshold)
-    label = cut(components(links.select("a", "b")))
+    busy = met.groupBy("node").agg(F.sum(F.col("n") - 1).alias("busy"))
+    centre = met.join(busy, "node").groupBy("bucket").agg(F.max(F.struct("busy", "node", "weight")).alias("c"))
+    star = cut(met.join(centre, "bucket").select("bucket", "node", F.col("c.node").alias("a"), (F.least("weight", "c.weight") / F.greatest("weight", "c.weight")).alias("bound")))
+    pairs = star.where((F.col("node") != F.col("a")) & (F.col("bound") >= threshold)).select("a", F.col("node").alias("b")).distinct()
+    wanted = reps.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
+    texts = cut(docs.join(small(wanted), ["doc_id", "th"]).groupBy("node").agg(F.first("text").alias("text")))
+    release(met)
+    links = cut(_verified(cut(pairs), texts, width, threshold))
+    label = components(links)
 
     # what is left: members of one bucket, other than its centre, in different components
-    part = F.coalesce("component", "rep")
-    near = star.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "a", "a_digest", "rep", "digest", part.alias("component"))
+    part = F.coalesce("component", "node").alias("component")
+    near = star.select("bucket", "a", "node").join(label, "node", "left").select("bucket", "a", "node", part)
     split = near.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 AND lo <> hi").select("bucket")
-    open_ = near.join(split, "bucket", "left_semi").where("a <> rep").select("a", F.col("rep").alias("b"), "a_digest", F.col("digest").alias("b_digest")).distinct()
-    maybe = _linkable(cut(_differences(open_, texts, width)), threshold)
-    who = reps.select("rep", "digest").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "digest", part.alias("component"))
-    rest = (
-        maybe.join(who.select(F.col("rep").alias("x"), F.col("digest").alias("a_digest"), F.col("component").alias("cx")), "x")
-        .join(who.select(F.col("rep").alias("y"), F.col("digest").alias("b_digest"), F.col("component").alias("cy")), "y")
-        .where("cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"), "a_digest", "b_digest")
-    )
-    more = cut(_verified(rest, texts, width).where(F.col("similarity") >= threshold))
+    open_ = cut(near.join(split, "bucket", "left_semi").where("a <> node").select("a", F.col("node").alias("b"), "component").distinct())
+    release(star)
+    diff = cut(_differences(open_.select("a", "b"), texts, width).join(open_, ["a", "b"]))
+    more = cut(_verified(cut(_linkable(diff, threshold)), texts, width, threshold))
+    release(texts, diff, open_)
     if not more.isEmpty():
-        label = cut(components(links.select("a", "b").union(more.select("a", "b"))))
+        label = components(links.union(more))
+
+    own = reps.select("node", "digest", "rep").join(label, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
+    first = own.groupBy("component").agg(F.min("rep").alias("first"))
+    of = own.join(small(cut(first)), "component").select("digest", F.col("first.doc_id").alias("class_id"))
+    return sig.join(of, "digest").select("doc_id", "th", "class_id"), first.select("first.doc_id", "first.th")
 
-    of = reps.select("digest", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
-    return known.select("doc_id", "digest").join(of, "digest").select("doc_id", "class_id").unionByName(sig.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+
+def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id): one row per row of ``df``; class_id is the smallest id of the near-duplicate class.
+
+    Null texts count as empty.  Texts without words are alike only if they are equal.  A text of fewer than ``width``
+    words has one shingle of all its words.  Different texts of one id are compared each by itself and may get different
+    classes.  A row without an id, or with one that isn't a number, gets the id and the class null and is compared with
+    nothing.  Repeated rows get equal rows.  Other columns are not read.  An empty table gives an empty table.
+    """
+    known, _ = _classes(df, id_col, text, width, bands, rows, threshold)
+    none = F.lit(None).cast("long")
+    id_ = F.col(id_col).try_cast("long")
+    return known.select("doc_id", "class_id").unionByName(df.where(id_.isNull()).select(none.alias("doc_id"), none.alias("class_id")))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its class; rows without id stay.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of ``df`` for each class, that of the smallest id; rows without an id stay.
 
-    Of repeated rows of the kept id one stays.  The columns are those of ``df``.
+    Of repeated rows (same id and text) one stays, and of the texts of one id those that stand for a class.  The columns
+    are those of ``df``.
     """
-    kept = classes(df, id_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = df.where(F.col(id_col).isNotNull()).join(small(kept), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return rows.dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
+    known, first = _classes(df, id_col, text, width, bands, rows, threshold)
+    often = known.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    one = first.join(often, ["doc_id", "th"]).select(F.col("doc_id").alias(ID), F.col("th").alias(HASH), F.col("n").alias(TIMES))
+    id_, th = F.col(id_col).try_cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    kept = cut(one)
+    rows_ = df.where(id_.isNotNull()).join(small(kept), (id_ == F.col(ID)) & (th == F.col(HASH)))
+    out = rows_.where(F.col(TIMES) == 1)
+    if not kept.where(F.col(TIMES) > 1).isEmpty():  # only repeated rows are shuffled to be made one
+        out = out.unionByName(rows_.where(F.col(TIMES) > 1).dropDuplicates([ID, HASH]))
+    return out.select(*df.columns).unionByName(df.where(id_.isNull()))
