@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusgraph.llm._common import cut
+from corpusgraph.llm._common import cut, small
 
-#: Children of a node, and consecutive sequence numbers of a block of records.
-FANOUT, BLOCK = 16, 256
+#: Children of a node, consecutive sequence numbers of a block of records, and records of one number that stay together.
+FANOUT, BLOCK, HOT = 16, 256, 4096
 
 
 def record(url: str = "url", payload: str = "html", record_id: str = "page_id") -> Column:
@@ -56,24 +56,32 @@ def parse_record(data: str) -> Column:
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """(archive, leaf, key, offset, length, hash) of records (archive string, seq long, key string, length long, digest string).
+    """(archive, leaf, key, offset, length, digest, hash) of records (archive string, seq long, key string, length long, digest string).
 
-    Order: seq, then key, then digest.  ``leaf`` numbers the records of an archive from 0.
+    Order: seq, then a hash of key and digest, then key and digest.  ``leaf`` numbers the records of an archive from 0.
+    Records of one seq beyond HOT are cut into ranges of that hash, each a part of its own, and the block around them
+    into its seqs, so that no task gets all records of a seq.
     """
-    rows = records.withColumn("block", F.floor(F.coalesce("seq", F.lit(-1)) / BLOCK))
-    block = rows.groupBy("archive", "block").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    rows = records.withColumn("seq", F.coalesce("seq", F.lit(-1))).withColumns({"block": F.floor(F.col("seq") / BLOCK), "h": F.xxhash64("key", "digest")})
+    often = rows.groupBy("archive", "block", "seq").agg(F.count("*").alias("times")).where(F.col("times") > HOT)
+    hot = cut(often.select("archive", "block", "seq", F.ceil(F.col("times") * 2 / HOT).alias("ranges")))
+    cracked = hot.select("archive", "block").distinct().withColumn("cracked", F.lit(True))
+    rows = rows.join(small(hot.drop("block")), ["archive", "seq"], "left").join(small(cracked), ["archive", "block"], "left")
+    rows = rows.withColumns({"of": F.when(F.col("cracked"), F.col("seq")).otherwise(F.lit(-1)), "part": F.coalesce(F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("ranges")), F.lit(0))}).drop("cracked", "ranges")
+    place = ["block", "of", "part"]
+    block = rows.groupBy("archive", *place).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
     # blocks of blocks, so that the running sums of a huge archive aren't one task's either
     block = block.withColumn("group", F.floor(F.col("block") / BLOCK))
     group = block.groupBy("archive", "group").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
     before = Window.partitionBy("archive").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     group = group.select("archive", "group", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"g_{c}") for c in ("n", "bytes")])
-    inside = Window.partitionBy("archive", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    block = block.select("archive", "group", "block", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"b_{c}") for c in ("n", "bytes")])
-    base = block.join(group, ["archive", "group"]).select("archive", "block", (F.col("b_n") + F.col("g_n")).alias("n0"), (F.col("b_bytes") + F.col("g_bytes")).alias("bytes0"))
-    line = Window.partitionBy("archive", "block").orderBy("seq", "key", "digest")
+    inside = Window.partitionBy("archive", "group").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    block = block.select("archive", "group", *place, *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"b_{c}") for c in ("n", "bytes")])
+    base = block.join(group, ["archive", "group"]).select("archive", *place, (F.col("b_n") + F.col("g_n")).alias("n0"), (F.col("b_bytes") + F.col("g_bytes")).alias("bytes0"))
+    line = Window.partitionBy("archive", *place).orderBy("seq", "h", "key", "digest")
     placed = rows.withColumns({"i": F.row_number().over(line) - 1, "done": F.coalesce(F.sum("length").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    placed = placed.join(base, ["archive", "block"]).select("archive", (F.col("n0") + F.col("i")).alias("leaf"), "key", (F.col("bytes0") + F.col("done")).alias("offset"), "length", "digest")
-    return placed.withColumn("hash", F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)).drop("digest")
+    placed = placed.join(base, ["archive", *place]).select("archive", (F.col("n0") + F.col("i")).alias("leaf"), "key", (F.col("bytes0") + F.col("done")).alias("offset"), "length", "digest")
+    return placed.withColumn("hash", F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256))
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
@@ -93,9 +101,10 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
 def audit(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Compare two replicas, given by their ``leaves``.
 
-    Returns the damage, (archive, leaf, key, status, offset, length, other_offset, other_length) with status ``differs``,
-    ``missing`` (not in the second) or ``extra`` (only there), and (level, compared), how many nodes were compared.
-    A record put in or left out moves the ranges of all that follow in its archive, which then differ.
+    Returns the damage, (archive, leaf, key, status, offset, length, other_offset, other_length), and (level, compared),
+    how many nodes were compared.  Status: ``differs`` (other bytes under the same key), ``missing`` (not in the second),
+    ``extra`` (only there) or ``moved`` (the same bytes in another place, as after a record that was put in, left out or
+    grew).  ``findings`` makes one row of all records that one shift has moved.  Equal replicas have no damage.
     """
     first, second = tree(one), tree(two)
     depth = max(len(first), len(second))
@@ -115,26 +124,47 @@ def audit(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = cut(both)
         counts.append(both.agg(F.lit(k).alias("level"), F.count("*").alias("compared")))
         wrong = both.where(~F.col("ha").eqNullSafe(F.col("hb")))
-    status = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("differs")
-    at = wrong.select("archive", F.col("node").alias("leaf"), status.alias("status"))
-    damage = (
-        at.join(one.select("archive", "leaf", F.col("key").alias("k1"), "offset", "length"), ["archive", "leaf"], "left")
-        .join(two.select("archive", "leaf", F.col("key").alias("k2"), F.col("offset").alias("other_offset"), F.col("length").alias("other_length")), ["archive", "leaf"], "left")
-        .select("archive", "leaf", F.coalesce("k1", "k2").alias("key"), "status", "offset", "length", "other_offset", "other_length")
-    )
+    bad = wrong.select("archive", F.col("node").alias("leaf"))
     total = counts[0]
     for c in counts[1:]:
         total = total.union(c)
-    return damage, total
+    return _explained(*(x.join(bad, ["archive", "leaf"], "left_semi") for x in (one, two))), total
+
+
+def _explained(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Damage from the leaves that differ on both sides: equal records are moved, then those of equal keys differ."""
+
+    def numbered(x: DataFrame, *by: str) -> DataFrame:
+        return x.withColumn("nth", F.row_number().over(Window.partitionBy("archive", *by).orderBy("leaf")))
+
+    same = ["archive", "key", "length", "digest"]
+    a, b = (cut(numbered(x.select(*same, "leaf", "offset"), *same[1:])) for x in (one, two))
+    other = [F.col("leaf").alias("other_leaf"), F.col("offset").alias("other_offset")]
+    moved = a.join(b.select(*same, "nth", *other), [*same, "nth"]).select("archive", "leaf", "key", F.lit("moved").alias("status"), "offset", "length", "other_offset", F.col("length").alias("other_length"))
+    a, b = (numbered(x.join(y, [*same, "nth"], "left_anti"), "key") for x, y in ((a, b), (b, a)))
+    right = b.select("archive", "key", "nth", F.col("length").alias("other_length"), *other)
+    pairs = a.select("archive", "key", "nth", "leaf", "offset", "length").join(right, ["archive", "key", "nth"], "full_outer")
+    status = F.when(F.col("other_leaf").isNull(), "missing").when(F.col("leaf").isNull(), "extra").otherwise("differs")
+    rest = pairs.select("archive", F.coalesce("leaf", "other_leaf").alias("leaf"), "key", status.alias("status"), "offset", "length", "other_offset", "other_length")
+    return moved.unionByName(rest)
+
+
+def findings(damage: DataFrame) -> DataFrame:
+    """(archive, status, shift, first_leaf, last_leaf, n): one row per damaged record, and one for all that a shift of so
+    many bytes has moved in an archive."""
+    shift = F.col("other_offset") - F.col("offset")
+    alone = F.when(F.col("status") != "moved", F.col("leaf"))
+    return damage.withColumns({"shift": F.when(F.col("status") == "moved", shift), "alone": alone}).groupBy("archive", "status", "shift", "alone").agg(
+        F.min("leaf").alias("first_leaf"), F.max("leaf").alias("last_leaf"), F.count("*").alias("n")).drop("alone")
 
 
 def page_records(pages: DataFrame, data: Column, archive_pages: int = 2048) -> DataFrame:
     """Record rows (archive, seq, key, length, digest) of a pages table with record bytes ``data``.
 
-    Archives hold ``archive_pages`` consecutive page ids.  Pages without id go to an archive of their own, in the order
-    of their keys; nulls in other columns are empty.
+    Archives hold ``archive_pages`` consecutive page ids.  Pages without id, or with one that isn't a number, go to an
+    archive of their own, in the order of a hash; nulls in other columns are empty.  Repeated rows are records each.
     """
-    seq = F.col("page_id").cast("long")
+    seq = F.col("page_id").try_cast("long")
     return pages.select(
         F.coalesce(F.format_string("pages-%06d", F.floor(seq / archive_pages)), F.lit("pages-none")).alias("archive"), F.coalesce(seq, F.lit(-1)).alias("seq"),
         F.concat_ws(" ", seq.cast("string"), F.coalesce(F.col("url").cast("string"), F.lit(""))).alias("key"), data.alias("__data"),
@@ -148,7 +178,8 @@ def audited_pages(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """
     one, two = (cut(leaves(page_records(p, record()))) for p in (pages, replica))
     damage, _ = audit(one, two)
-    bad = damage.select("archive", "leaf", "status")
+    damage = cut(damage)
+    bad = damage.where("status <> 'extra'").select("archive", "leaf", "status")
     known = one.join(bad, ["archive", "leaf"], "left").select("archive", "leaf", "key", "offset", "length", F.coalesce("status", F.lit("intact")).alias("status"))
     extra = damage.where("status = 'extra'").select("archive", "leaf", "key", F.col("other_offset").alias("offset"), F.col("other_length").alias("length"), "status")
     return known.unionByName(extra)
