@@ -18,17 +18,20 @@ OFF_MODES = ("off", "none", "evidence", "0", "false")
 
 # Words that the index leaves out.
 STOP = (
-    "a an and are as at be been but by can could did does for from had has have how i if in is it its no not of on or our so "
-    "that the their them then there these they this to was we were when which will with you your use used using via etc also "
-    "may must shall"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "could", "did", "does", "for", "from",
+    "had", "has", "have", "how", "i", "if", "in", "is", "it", "its", "no", "not", "of", "on", "or", "our", "so",
+    "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "was", "we", "were", "when",
+    "which", "will", "with", "you", "your", "use", "used", "using", "via", "etc", "also", "may", "must", "shall",
+)
 
 # Identifiers too common to point at a file.
 SYMBOL_STOP = (
-    "self this main init name args kwargs value values item items data result results text path type types ret true false none "
-    "null error errors test tests config default return class def func function import from elif else then print format index "
-    "count size length list dict tuple json args_ kwargs_ setup build make create update delete write read open"
-).split()
+    "self", "this", "main", "init", "name", "args", "kwargs", "value", "values", "item", "items", "data", "result",
+    "results", "text", "path", "type", "types", "ret", "true", "false", "none", "null", "error", "errors", "test",
+    "tests", "config", "default", "return", "class", "def", "func", "function", "import", "from", "elif", "else",
+    "then", "print", "format", "index", "count", "size", "length", "list", "dict", "tuple", "json", "args_",
+    "kwargs_", "setup", "build", "make", "create", "update", "delete", "write", "read", "open",
+)
 
 
 @dataclass(frozen=True)

@@ -1,12 +1,17 @@
-"""View data: build phases, births of edges, and the binary archive of a graph."""
+"""View data: build phases, and archives of sites.
+
+An archive is what a viewer loads whole: one string for a site, the Base64 of a gzip stream that holds named Arrow tables
+(nodes, edges, and optionally layout and timeline).  Sites are archived side by side, one group of rows each.
+"""
 
 from __future__ import annotations
 
 import base64
 import gzip
 import json
-import struct
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,11 +33,14 @@ def build_phases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return corpus.union(kinds).select("name", "count", F.round(t0, 4).alias("t0"), F.round("dur", 4).alias("dur"))
 
 
-# Layouts of the binary rows, little-endian.
-GRAPH_HEADER, CLUSTER_ROW, KIND_ROW = struct.Struct("<4sHHIIIIII"), struct.Struct("<IHHI"), struct.Struct("<IHH")
-NODE_ROW, EDGE_ROW = struct.Struct("<IIIIIIHHIfI"), struct.Struct("<IIHHI")
-ARCHIVE_HEADER = struct.Struct("<4sIII")
-GRAPH_MAGIC, ARCHIVE_MAGIC, VERSION = b"SKGG", b"SKGA", 1
+#: Version of the container, and the tables that an archive may have with the columns that each must have.
+VERSION = 1
+PARTS = {
+    "nodes": {"i": pa.string(), "t": pa.string(), "u": pa.string(), "c": pa.string(), "g": pa.int64(), "r": pa.float64(), "w": pa.int64()},
+    "edges": {"s": pa.string(), "t": pa.string(), "k": pa.string()},
+    "layout": {"i": pa.string(), "x": pa.int16(), "y": pa.int16(), "z": pa.int16()},
+    "timeline": {"batch": pa.int64(), "seq": pa.int64(), "node_start": pa.int64(), "edge_start": pa.int64(), "n_node": pa.int64(), "n_edge": pa.int64()},
+}
 
 
 def fnv32(data: bytes) -> int:
@@ -43,95 +51,72 @@ def fnv32(data: bytes) -> int:
     return h
 
 
-class _Strings:
-    """Strings of a blob, each kept once."""
-
-    def __init__(self) -> None:
-        self.blob, self.place = bytearray(), {}
-
-    def at(self, s: str) -> tuple[int, int]:
-        if s not in self.place:
-            raw = s.encode()
-            self.place[s] = (len(self.blob), len(raw))
-            self.blob.extend(raw)
-        return self.place[s]
+def _checked(parts: dict[str, pa.Table]) -> dict[str, pa.Table]:
+    """The tables with their fixed columns in their order; a ValueError for what no archive may hold."""
+    out = {}
+    for name, columns in PARTS.items():
+        if name in parts:
+            if missing := [c for c in columns if c not in parts[name].column_names]:
+                raise ValueError(f"{name} without {', '.join(missing)}")
+            out[name] = parts[name].select(list(columns)).cast(pa.schema(list(columns.items()))).combine_chunks()
+    if unknown := set(parts) - set(PARTS):
+        raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
+    if not {"nodes", "edges"} <= set(out):
+        raise ValueError("an archive has nodes and edges")
+    ids = out["nodes"]["i"]
+    if ids.null_count or pc.count_distinct(ids).as_py() < len(ids):
+        raise ValueError("a node id is missing or there twice")
+    ends = [out["edges"][c] for c in ("s", "t")] + ([out["layout"]["i"]] if "layout" in out else [])
+    if not all(pc.all(pc.is_in(e, value_set=ids.combine_chunks())).as_py() is not False for e in ends):
+        raise ValueError("an edge or a place of an unknown node")
+    return out
 
 
-def _numbers(values) -> dict[str, int]:
-    return {v: i for i, v in enumerate(dict.fromkeys(values))}
+def pack(**parts: pa.Table) -> str:
+    """The tables of one site as a string; equal tables give equal strings."""
+    sink = pa.BufferOutputStream()
+    for name, table in _checked(parts).items():
+        meta = {b"part": name.encode(), b"version": str(VERSION).encode()}
+        # ends of edges, chapters and kinds repeat, so they are kept as numbers into a list of their values
+        coded = pa.table({c: pc.dictionary_encode(table[c]) if pa.types.is_string(table[c].type) else table[c] for c in table.column_names})
+        with pa.ipc.new_stream(sink, coded.schema.with_metadata(meta)) as writer:
+            writer.write_table(coded)
+    body = sink.getvalue().to_pybytes()
+    head = json.dumps({"bytes": len(body), "mark": fnv32(body)}).encode() + b"\n"
+    return base64.b64encode(gzip.compress(head + body, 9, mtime=0)).decode()
 
 
-def encode_graph(nodes: list[dict], edges: list[dict]) -> bytes:
-    """One graph as a blob: header, clusters, kinds, strings, nodes, edges.  For graphs that a viewer loads whole."""
-    place = {n["i"]: k for k, n in enumerate(nodes)}
-    if len(place) < len(nodes):
-        raise ValueError("a node id is there twice")
-    if missing := [e for e in edges if e["s"] not in place or e["t"] not in place]:
-        raise ValueError(f"edge to an unknown node: {missing[0]}")
-    cluster, kind, strings = _numbers(str(n.get("c", "")) for n in nodes), _numbers(str(e.get("k", "ref")) for e in edges), _Strings()
-    size = dict.fromkeys(cluster, 0)
-    for n in nodes:
-        size[str(n.get("c", ""))] += 1
-    head = [CLUSTER_ROW.pack(*strings.at(c), 0, size[c]) for c in cluster] + [KIND_ROW.pack(*strings.at(k), 0) for k in kind]
-    body = [
-        NODE_ROW.pack(*strings.at(str(n["i"])), *strings.at(str(n.get("t", ""))), *strings.at(str(n.get("u", ""))), cluster[str(n.get("c", ""))], 0, int(n.get("g", 0)), float(n.get("r", 0)), int(n.get("w", 0)))
-        for n in nodes
-    ]
-    body += [EDGE_ROW.pack(place[e["s"]], place[e["t"]], kind[str(e.get("k", "ref"))], 0, 0) for e in edges]
-    mark = fnv32(json.dumps({"nodes": nodes, "edges": edges}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode())
-    return GRAPH_HEADER.pack(GRAPH_MAGIC, VERSION, 0, len(nodes), len(edges), len(cluster), len(kind), len(strings.blob), mark) + b"".join(head) + bytes(strings.blob) + b"".join(body)
+def unpack(text: str) -> dict[str, pa.Table]:
+    """The tables of an archive; a ValueError for anything that ``pack`` didn't write whole."""
+    try:
+        head, _, body = gzip.decompress(base64.b64decode(text, validate=True)).partition(b"\n")
+        stated = json.loads(head)
+        if stated["bytes"] != len(body) or stated["mark"] != fnv32(body):
+            raise ValueError("the archive is damaged")
+        source, parts = pa.BufferReader(body), {}
+        while source.tell() < len(body):
+            table = pa.ipc.open_stream(source).read_all()
+            meta = table.schema.metadata or {}
+            if meta.get(b"version") != str(VERSION).encode():
+                raise ValueError("an archive of another version")
+            plain = {c: table[c].cast(pa.string()) if pa.types.is_dictionary(table[c].type) else table[c] for c in table.column_names}
+            parts[meta[b"part"].decode()] = pa.table(plain)
+    except (EOFError, KeyError, OSError, TypeError, UnicodeDecodeError, pa.ArrowInvalid) as e:
+        raise ValueError("not an archive") from e
+    return _checked(parts)
+
+
+def archives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(site_id, archive) of nodes (site_id, i, t, u, c, g, r, w) and edges (site_id, s, t, k), one string for each site.
+
+    A site is one group of rows, as a viewer loads it whole.  Rows are put in order, so that a site's string doesn't
+    depend on how its rows were dealt.
+    """
 
+    def one(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        text = pack(nodes=left.drop_columns("site_id").sort_by("i"), edges=right.drop_columns("site_id").sort_by([(c, "ascending") for c in ("s", "t", "k")]))
+        return pa.table({"site_id": pa.array([key[0].as_py()], pa.string()), "archive": pa.array([text])})
 
-def decode_graph(data: bytes) -> dict:
-    """The graph of a blob; a ValueError for a wrong magic, version, length or reference."""
-    try:
-        magic, version, _, n, m, c, k, size, mark = GRAPH_HEADER.unpack_from(data)
-    except struct.error as e:
-        raise ValueError("the blob is cut off") from e
-    if magic != GRAPH_MAGIC or version != VERSION:
-        raise ValueError("not a graph of this version")
-    at = GRAPH_HEADER.size
-    want = at + c * CLUSTER_ROW.size + k * KIND_ROW.size + size + n * NODE_ROW.size + m * EDGE_ROW.size
-    if want != len(data):
-        raise ValueError(f"the blob has {len(data)} bytes and should have {want}")
-    rows = list(CLUSTER_ROW.iter_unpack(data[at : at + c * CLUSTER_ROW.size]))
-    at += c * CLUSTER_ROW.size
-    kind_rows = list(KIND_ROW.iter_unpack(data[at : at + k * KIND_ROW.size]))
-    at += k * KIND_ROW.size
-    strings = data[at : at + size]
-    at += size
-
-    def text(off: int, length: int) -> str:
-        if off + length > size:
-            raise ValueError("a string lies outside of the blob")
-        return strings[off : off + length].decode()
-
-    clusters, kinds = [text(r[0], r[1]) for r in rows], [text(r[0], r[1]) for r in kind_rows]
-    nodes = [{"i": text(*r[0:2]), "t": text(*r[2:4]), "u": text(*r[4:6]), "c": clusters[r[6]], "g": r[8], "r": r[9], "w": r[10]} for r in NODE_ROW.iter_unpack(data[at : at + n * NODE_ROW.size])]
-    at += n * NODE_ROW.size
-    edges = []
-    for a, b, kind, _, _ in EDGE_ROW.iter_unpack(data[at:]):
-        if max(a, b) >= n or kind >= k:
-            raise ValueError("an edge lies outside of the graph")
-        edges.append({"s": nodes[a]["i"], "t": nodes[b]["i"], "k": kinds[kind]})
-    return {"nodes": nodes, "edges": edges, "hash": mark}
-
-
-def pack_archive(graph: bytes, layout: bytes = b"", timeline: bytes = b"") -> str:
-    """The blobs as one Base64 string of a gzip stream; equal blobs give equal strings."""
-    whole = ARCHIVE_HEADER.pack(ARCHIVE_MAGIC, len(graph), len(layout), len(timeline)) + graph + layout + timeline
-    return base64.b64encode(gzip.compress(whole, 9, mtime=0)).decode()
-
-
-def unpack_archive(text: str) -> dict[str, bytes]:
-    whole = gzip.decompress(base64.b64decode(text, validate=True))
-    if len(whole) < ARCHIVE_HEADER.size or whole[:4] != ARCHIVE_MAGIC:
-        raise ValueError("not an archive")
-    sizes = ARCHIVE_HEADER.unpack_from(whole)[1:]
-    if ARCHIVE_HEADER.size + sum(sizes) != len(whole):
-        raise ValueError("the archive's parts don't fill it")
-    out, at = {}, ARCHIVE_HEADER.size
-    for name, n in zip(("graph", "layout", "timeline"), sizes, strict=True):
-        out[name] = whole[at : at + n]
-        at += n
-    return out
+    n = nodes.select(F.col("site_id").cast("string").alias("site_id"), *[F.col(c).cast({pa.int64(): "long", pa.float64(): "double"}.get(t, "string")).alias(c) for c, t in PARTS["nodes"].items()])
+    e = edges.select(F.col("site_id").cast("string").alias("site_id"), *[F.col(c).cast("string").alias(c) for c in PARTS["edges"]])
+    return n.groupBy("site_id").cogroup(e.groupBy("site_id")).applyInArrow(one, "site_id string, archive string")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import base64
+import gzip
 import math
-import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,18 +218,33 @@ def test_phases(spark):
     assert got == [("CORPUS", 2, 0.0, 1.2), ("ref", 1, 1.2, 0.4), ("similar_to", 1, 1.6, 0.4)]
 
 
+NODES = [{"i": "a", "t": "Ä", "u": "", "c": "x", "g": 1, "r": 0.5, "w": 7}, {"i": "b", "t": "", "u": "u", "c": "y", "g": 0, "r": 0.25, "w": 0}]
+EDGES = [{"s": "a", "t": "b", "k": "ref"}]
+
+
 def test_archive_round_trip():
-    g = {"nodes": [{"i": "a", "t": "Ä", "u": "", "c": "x", "g": 1, "r": 0.5, "w": 7}, {"i": "b", "t": "", "u": "u", "c": "y", "g": 0, "r": 0.25, "w": 0}], "edges": [{"s": "a", "t": "b", "k": "ref"}]}
-    blob = view.encode_graph(**g)
-    back = view.decode_graph(blob)
-    assert back["nodes"] == g["nodes"] and back["edges"] == g["edges"]
-    packed = view.pack_archive(blob, b"L", b"T")
-    assert view.unpack_archive(packed) == {"graph": blob, "layout": b"L", "timeline": b"T"} and packed == view.pack_archive(blob, b"L", b"T")
-    for bad in (blob[:-1], blob + b"x", b"NOPE" + blob[4:], blob[:4] + struct.pack("<H", 9) + blob[6:], b""):
+    nodes, edges = pa.Table.from_pylist(NODES), pa.Table.from_pylist(EDGES)
+    places = pa.table({"i": ["b", "a"], "x": pa.array([1, -5], pa.int16()), "y": pa.array([0, 32767], pa.int16()), "z": pa.array([0, 0], pa.int16())})
+    text = view.pack(nodes=nodes, edges=edges, layout=places)
+    back = view.unpack(text)
+    assert {k: t.to_pylist() for k, t in back.items()} == {"nodes": NODES, "edges": EDGES, "layout": places.to_pylist()}
+    assert text == view.pack(layout=places, edges=edges, nodes=nodes.select(["w", "i", "t", "u", "c", "g", "r"])) and view.unpack(view.pack(nodes=nodes.slice(0, 0), edges=edges.slice(0, 0)))["nodes"].num_rows == 0
+    raw = gzip.decompress(base64.b64decode(text))
+    again = lambda b: base64.b64encode(gzip.compress(b)).decode()
+    for bad in (again(raw[:-1]), again(raw + b"x"), again(raw.replace(b"ref", b"fer")), again(b""), again(b"{}\n"), "no archive", text[:-8], ""):
         with pytest.raises(ValueError):
-            view.decode_graph(bad)
-    with pytest.raises(ValueError):
-        view.encode_graph(g["nodes"], [{"s": "a", "t": "z", "k": "ref"}])
+            view.unpack(bad)
+    for bad in ({"edges": pa.Table.from_pylist([{"s": "a", "t": "z", "k": "ref"}])}, {"nodes": pa.Table.from_pylist([*NODES, NODES[0]])}, {"other": edges}, {"edges": edges.select(["s"])}):
+        with pytest.raises(ValueError):
+            view.pack(**{"nodes": nodes, "edges": edges, **bad})
+
+
+def test_archives_of_sites(spark):
+    nodes = spark.createDataFrame([(s, n["i"], n["t"], n["u"], n["c"], n["g"], n["r"], n["w"]) for s in ("one", "two") for n in NODES], "site_id string, i string, t string, u string, c string, g int, r double, w int")
+    edges = spark.createDataFrame([("one", "a", "b", "ref")], "site_id string, s string, t string, k string")
+    got = {x.site_id: view.unpack(x.archive) for x in view.archives(nodes.repartition(3), edges).collect()}
+    assert {s: (t["nodes"].to_pylist(), t["edges"].num_rows) for s, t in got.items()} == {"one": (NODES, 1), "two": (NODES, 0)}
+    assert view.fnv32(b"") == 0x811C9DC5 and view.fnv32(b"foobar") == 0xBF9CF968
 
 
 def test_layout_ignores_derived_edges(spark):
