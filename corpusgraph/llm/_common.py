@@ -87,3 +87,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     each = sum((F.coalesce(x, F.lit(0)) for x in wide if x is not None), F.lit(16 * len(wide)))
     got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(each.cast("long")).alias("b")).first()
     return F.broadcast(df) if got["n"] <= rows and (got["b"] or 0) <= size else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores in front where ``df`` has such a column, for columns beside those of a caller."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

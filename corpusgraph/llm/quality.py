@@ -5,8 +5,13 @@ fitted on a bounded sample of labelled rows.  Sites add to it: every document co
 the host, with its label if it has one and else with its probability.  The rate of a host is shrunk toward the global
 rate and the rate of a path toward its host's, with strengths estimated by moments over all hosts and all paths, so that
 sparse sites stay near their priors.  The decision adds the log-odds by which the path's posterior differs from the
-global rate.  Counts are grouped aggregations with map-side combine, so that a host with a third of all rows is as cheap
-as any; nothing of a host is gathered but its counts.
+global rate.  A document is left out of its own site's counts, so that neither its label nor its own evidence comes back
+to it through its site; one that is alone on its site gets the global rate.  Counts are grouped aggregations with
+map-side combine, so that a host with a third of all rows is as cheap as any; nothing of a host is gathered but its
+counts.
+
+Any two levels of columns can be host and path.  The documents table has no addresses: its ``source`` is the host, and
+the ``lang`` of a document, under which sites commonly keep their translations, stands for the first step of the path.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm._common import cut, small
+from corpusgraph.llm._common import cut, release, small, unused
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
@@ -78,19 +83,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit the classifier on at most ``rows`` labelled documents; null ids and null labels are left out."""
-    known = _labels(labels, id_col, label)
-    sample = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    """Fit the classifier on at most ``rows`` labelled documents; null ids and null labels are left out.
+
+    An id counts once: of different texts under one id the one with the smallest features.
+    """
+    sample = _labels(labels, id_col, label).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
     x = F.array(*[f.cast("double") for f in features(text)])
-    got = docs.join(F.broadcast(sample), F.col(id_col).cast("long") == F.col("__id")).select(x.alias("x"), "__y").limit(2 * rows).toPandas()
+    found = docs.select(F.col(id_col).try_cast("long").alias("label_id"), F.col(text).alias(text)).join(F.broadcast(sample), "label_id")
+    got = found.select("label_id", "y", x.alias("x")).groupBy("label_id", "y").agg(F.min("x").alias("x")).orderBy("label_id").toPandas()
     if got.empty:
         return Model((0.0,) * len(features(text)), 0.0, fitted=False)
-    return fit_logistic(np.stack(got["x"].map(np.asarray)), (got["__y"] >= 0.5).to_numpy().astype(float))
+    return fit_logistic(np.stack(got["x"].map(np.asarray)), (got["y"] >= 0.5).to_numpy().astype(float))
 
 
 def _labels(labels: DataFrame, id_col: str, label: str) -> DataFrame:
-    """One label for each id: the mean of its rows."""
-    return labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label).cast("double").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL").groupBy("__id").agg(F.avg("__y").alias("__y"))
+    """(label_id, y): one label for each id, the mean of its rows."""
+    return labels.select(F.col(id_col).try_cast("long").alias("label_id"), F.col(label).cast("double").alias("y")).where("label_id IS NOT NULL AND y IS NOT NULL").groupBy("label_id").agg(F.avg("y").alias("y"))
 
 
 def _strength(rates: DataFrame, prior: Column) -> float:
@@ -115,64 +123,90 @@ def _probability(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
-    """((host, path, n, host_rate, path_rate), global rate) of rows (host, path, y), y in 0..1."""
+@dataclass(frozen=True)
+class Sites:
+    """Counts of sites and what all of them say: (host, path, n, s, host_n, host_s), the global rate, two strengths."""
+
+    counts: DataFrame
+    rate: float
+    host_strength: float
+    path_strength: float
+
+    def rates(self, y: Column | float, weight: float = 1.0) -> tuple[Column, Column]:
+        """Posterior rates of host and path of a row joined with ``counts``, without ``weight`` documents of label ``y``."""
+        host = (F.col("host_s") - y + self.host_strength * self.rate) / (F.col("host_n") - weight + self.host_strength)
+        return host, (F.col("s") - y + self.path_strength * host) / (F.col("n") - weight + self.path_strength)
+
+
+def site_counts(evidence: DataFrame) -> Sites:
+    """Counts and priors from rows (host, path, y), y in 0..1."""
     path = cut(evidence.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("s")))
     host = path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = path.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = total["s"] / total["n"] if total["n"] else 0.5
     m = _strength(host, F.lit(rate))
-    host = host.select("host", ((F.col("s") + m * rate) / (F.col("n") + m)).alias("host_rate"))
-    both = cut(path.join(small(host), "host"))
-    k = _strength(both, F.col("host_rate"))
-    return both.select("host", "path", "n", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")), rate
+    above = cut(host.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s")))
+    both = cut(path.join(small(above), "host"))
+    release(path, above)
+    k = _strength(both, (F.col("host_s") + m * rate) / (F.col("host_n") + m))
+    return Sites(both, rate, m, k)
+
+
+def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
+    """((host, path, n, host_rate, path_rate), global rate) of rows (host, path, y), y in 0..1, with all rows in."""
+    sites = site_counts(evidence)
+    host, path = sites.rates(0.0, 0.0)
+    return sites.counts.select("host", "path", "n", host.alias("host_rate"), path.alias("path_rate")), sites.rate
 
 
-def _site(df: DataFrame, host: str, path: list[str]) -> list[Column]:
+def _site(host: str, path: list[str]) -> list[Column]:
     return [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in path]).alias("path")]
 
 
+def _judged(rows: DataFrame, model: Model, labels: DataFrame, id_col: str, label: str, keep_from: float) -> DataFrame:
+    """``rows`` (doc_id, host, path, x, ...) with evidence, host_rate, path_rate, quality and keep."""
+    own = cut(rows.withColumn("evidence", model.logit(F.col("x"))).drop("x"))
+    known = _labels(labels, id_col, label)
+    # both sides are narrow; an id that is no number, or none, has no label
+    own = cut(own.join(known, F.col("doc_id") == F.col("label_id"), "left").drop("label_id").withColumn("y", F.coalesce("y", _probability(F.col("evidence")))))
+    sites = site_counts(own.select("host", "path", "y"))
+    host, path = sites.rates(F.col("y"))
+    out = own.join(small(sites.counts), ["host", "path"]).withColumns({"host_rate": host, "path_rate": path})
+    # labels of one class tell sites apart by how many of their rows are labelled, not by their quality
+    z = F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(sites.rate)) if model.fitted else F.col("evidence")
+    return out.withColumn("quality", _probability(z)).withColumn("keep", F.col("quality") >= keep_from if model.fitted else F.lit(True))
+
+
 def scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", path: tuple[str, ...] = ("lang",), label: str = "quality", rows: int = SAMPLE_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, quality (probability), keep: one row per row of ``df``.
 
-    Null texts count as empty; a null host or path is a site of its own; a null id has no label.  Labels of one id are
-    averaged.  Without labelled rows of both classes the evidence is 0, sites add nothing and every document is kept.  Repeated rows give repeated
-    rows and count as often in their site.  Other columns aren't read; an empty table gives an empty table.
+    The rates are those of the document's site without the document itself.  Null texts count as empty; a null host or
+    path is a site of its own; a null id, or one that isn't a number, has no label.  Labels of one id are averaged.
+    Without labelled rows of both classes the evidence is 0, sites add nothing and every document is kept.  Repeated rows
+    give repeated rows and count as often in their site.  Other columns aren't read; an empty table gives an empty table.
     """
     model = fit(df, labels, id_col, text, label, rows)
     x = F.array(*[f.cast("double") for f in features(text)])
-    raw = df.select(F.col(id_col).cast("long").alias("doc_id"), *_site(df, host, list(path)), x.alias("x"))
-    own = cut(raw.select("doc_id", "host", "path", model.logit(F.col("x")).alias("evidence")))
-    post, rate = _posteriors(own, labels, id_col, label)
-    return own.join(small(post), ["host", "path"]).select("doc_id", *_decision(rate, keep_from, model.fitted))
-
-
-def _posteriors(own: DataFrame, labels: DataFrame, id_col: str, label: str) -> tuple[DataFrame, float]:
-    y = F.coalesce("__y", _probability(F.col("evidence")))
-    seen = own.join(small(_labels(labels, id_col, label)), F.col("doc_id") == F.col("__id"), "left").select("host", "path", y.alias("y"))
-    post, rate = site_posteriors(seen)
-    return cut(post), rate
-
-
-def _decision(rate: float, keep_from: float, fitted: bool) -> list[Column]:
-    # labels of one class tell sites apart by how many of their rows are labelled, not by their quality
-    p = _probability(F.col("evidence") + _logit(F.col("path_rate")) - _logit(F.lit(rate)) if fitted else F.col("evidence"))
-    return [*(F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate")), F.round(p, 6).alias("quality"), (p >= keep_from if fitted else F.lit(True)).alias("keep")]
+    own = df.select(F.col(id_col).try_cast("long").alias("doc_id"), *_site(host, list(path)), x.alias("x"))
+    out = _judged(own, model, labels, id_col, label, keep_from)
+    return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate", "quality")), "keep")
 
 
 def kept(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", path: tuple[str, ...] = ("lang",), label: str = "quality", rows: int = SAMPLE_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of ``df`` that ``scores`` keeps, with the columns of ``df``.
 
-    Texts aren't shuffled while the sites are few enough to broadcast: their features are computed again instead.
+    Nulls, repeated rows and empty tables are treated as in ``scores``; repeated rows are kept or dropped together.
+    Texts aren't shuffled while the rejected rows' keys (id, site, hash of the text) are few enough to broadcast.
     """
     model = fit(df, labels, id_col, text, label, rows)
     if not model.fitted:
         return df.select(*df.columns)
+    th = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     x = F.array(*[f.cast("double") for f in features(text)])
-    own = cut(df.select(F.col(id_col).cast("long").alias("doc_id"), *_site(df, host, list(path)), x.alias("x")).select("doc_id", "host", "path", model.logit(F.col("x")).alias("evidence")))
-    post, rate = _posteriors(own, labels, id_col, label)
-    post = post.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("path_rate").alias("__rate"))
-    h, p = _site(df, host, list(path))
-    z = model.logit(F.col("__x")) + _logit(F.col("__rate")) - _logit(F.lit(rate))
-    joined = df.join(small(post), (h == F.col("__host")) & (p == F.col("__path")))
-    return joined.withColumn("__x", x).where(_probability(z) >= keep_from).select(*df.columns)
+    own = df.select(F.col(id_col).try_cast("long").alias("doc_id"), *_site(host, list(path)), th.alias("th"), x.alias("x"))
+    bad = _judged(own, model, labels, id_col, label, keep_from).where("NOT keep").select("doc_id", "host", "path", "th").distinct()
+    keys = [F.col(id_col).try_cast("long"), *_site(host, list(path)), th]
+    names = unused(df, "bad_id", "bad_host", "bad_path", "bad_th")
+    gone = cut(bad.toDF(*names))
+    same = [k.eqNullSafe(F.col(n)) if n == names[0] else k == F.col(n) for k, n in zip(keys, names, strict=True)]
+    return df.join(small(gone), same, "left_anti").select(*df.columns)
