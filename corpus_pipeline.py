@@ -1,4 +1,4 @@
-"""From raw documents to tokens: quality, repeated runs of lines, line dedup, near-dedup, decontamination, encoding.
+"""From raw documents to tokens: quality, line dedup, near-dedup, decontamination, encoding.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies them to the documents table, each on
 what its predecessor wrote.  All but the last return the columns of documents.
@@ -6,14 +6,13 @@ what its predecessor wrote.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import decontam, line_chunks, neardup, quality, sp_encode
-from corpusgraph.llm._common import table
+from corpusgraph.llm._common import delete_folder, shared_folder, table
 from corpusgraph.llm.queries import piece_model
 
 
@@ -22,30 +21,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
-def _kept_in_parquet(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpusgraph-pipeline-")
-    where = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{name}"
-    docs.write.parquet(where)
-    return spark.read.parquet(where)
-
-
-def _with_n_chars(docs: DataFrame, columns: list[str]) -> DataFrame:
-    return docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
-
-
-def first_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps, without repeated runs of lines.
-
-    The runs go before the line stage, which removes what is left in repeated chunks.  They are read several times, so
-    what the classifier keeps is written once.
-    """
-    good = _kept_in_parquet(spark, quality_stage(spark, docs, sf_dir), "good")
-    return _with_n_chars(line_chunks.remove_repeated(good, run_words=line_chunks.RUN_WORDS, chunks=False), docs.columns)
-
-
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines removed from the texts; n_chars follows."""
-    return _with_n_chars(line_chunks.remove_repeated(docs), docs.columns)
+    """Repeated chunks and repeated runs of lines removed from the texts; n_chars follows."""
+    out = line_chunks.remove_repeated(docs, run_words=line_chunks.RUN_WORDS)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +43,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier, repeated runs", first_stage),
+    ("quality classifier", quality_stage),
     ("line dedup", line_stage),
     ("near-dedup", near_stage),
     ("benchmark decontamination", benchmark_stage),
@@ -76,10 +55,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on the documents of ``sf_dir``, each written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = _kept_in_parquet(spark, docs, str(i))
-    return docs
+    """The stages on the documents of ``sf_dir``, each written as Parquet in the shared folder and read again.
+
+    A stage's table is deleted when its successor is written; the last one is left to who reads the result.
+    """
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", ""
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        docs = spark.read.parquet(f"{base}/{i}")
+        if before:
+            delete_folder(spark, before)
+        before = f"{base}/{i}"
+    return STAGES[-1][1](spark, docs, sf_dir)
