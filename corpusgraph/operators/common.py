@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -9,20 +10,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Largest number of rows that is broadcast, behind a count of them.
-BROADCAST_ROWS = 500_000
+#: Largest number of rows and of bytes that is broadcast, behind a count of them.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 * 1024 * 1024
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes (strings, and 16 for any other
+    column), else as it is.  The count runs the plan, so it is cheap or cut before."""
+    each = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, k in df.dtypes if k == "string"), F.lit(16 * len(df.columns)))
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(each.cast("long")).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= rows and (got["b"] or 0) <= size else df
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder of spark.checkpoint.dir, or in one of our own where unset."""
-    sc = df.sparkSession.sparkContext
+    """Cut the lineage by a reliable checkpoint in the folder of spark.checkpoint.dir.
+
+    Only a local master gets a folder of our own where it is unset; a cluster would lose what is written there.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpusgraph-checkpoint-"))
+        where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not where and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusgraph-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -60,3 +71,18 @@ def nominated(scored: DataFrame, cap: int, kind: str) -> DataFrame:
 
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def following(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """(id, next) of rows and the row after each in its group, in the order of ``order`` and the id.
+
+    All rows are numbered by ranges of (group, order), so that a group of any size is many tasks' work, and rows of
+    neighbouring numbers are joined.  Rows of groups of one aren't numbered.
+    """
+    from corpusgraph.operators.index import numbered
+
+    key = df.select("id", F.col(group).alias("g"), F.struct(F.col(group), *order, "id").alias("o"))
+    several = key.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    line = numbered(key.join(several, "g", "left_semi"), "o").select("id", "g", "__i")
+    after = line.select(F.col("id").alias("next"), "g", (F.col("__i") - 1).alias("__i"))
+    return line.join(after, ["__i", "g"]).select("id", "next")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,70 +35,50 @@ def verdict(edges: DataFrame) -> DataFrame:
     return n.select(F.when(ready, "READY").otherwise("NOT-READY").alias("verdict"), note.alias("note"), "edges")
 
 
-#: Links up to which PageRank runs in one task, in arrays of about 40 bytes a link; beyond it every round is distributed.
-ONE_TASK_LINKS = 2_000_000
-
-
-def pagerank(ids: DataFrame, edges: DataFrame, cfg: Config = DEFAULT, every: int = 5, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
+def pagerank(ids: DataFrame, edges: DataFrame, cfg: Config = DEFAULT, every: int = 5) -> DataFrame:
     """(id, r) after a fixed number of rounds; ranks of nodes without links out are spread over all.
 
-    A graph that is proven small is ranked by one task, in one job.  Else links are dealt by source once; each round is
-    one join and one aggregation with map-side combine, and the sum of dangling ranks a one-row join.  The lineage is cut
-    every few rounds by a reliable checkpoint.  An edge whose target is unknown passes its share on to nobody.
+    Nodes and links are dealt by id and source once and kept so; a round moves nothing but the shares that arrive, summed
+    on the map side first.  A lost executor's part of what is kept is computed again, from a reliable checkpoint a few
+    rounds back at most.  An edge whose target is unknown passes its share on to nobody; a repeated id is one node.
     """
-    if ids.limit(one_task_links + 1).count() + edges.limit(one_task_links + 1).count() <= one_task_links:
-        return _pagerank_in_one_task(ids, edges, cfg)
-    return _pagerank_by_rounds(ids, edges, cfg, every)
-
-
-def _pagerank_in_one_task(ids: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
-    damping, rounds = cfg.damping, cfg.iterations
-
-    def rank(rows: pd.DataFrame) -> pd.DataFrame:
-        node = pd.Index(rows.loc[rows["t"].isna(), "id"].drop_duplicates().sort_values())
-        link = rows[rows["t"].notna()]
-        source, target = node.get_indexer(link["id"]), node.get_indexer(link["t"])
-        n = len(node)
-        known = source >= 0
-        out = np.bincount(source[known], minlength=n)
-        source, target = source[known & (target >= 0)], target[known & (target >= 0)]
-        r = np.full(n, 1.0 / max(n, 1))
-        for _ in range(rounds):
-            share = np.divide(damping * r, out, out=np.zeros(n), where=out > 0)
-            r = (1 - damping) / max(n, 1) + damping * r[out == 0].sum() / max(n, 1) + np.bincount(target, share[source], minlength=n)[:n]
-        return pd.DataFrame({"id": node.to_numpy(object), "r": r})
-
-    both = ids.select("id", F.lit(None).cast("string").alias("t")).union(edges.select("s", "t")).withColumn("all", F.lit(1))
-    return both.groupBy("all").applyInPandas(rank, "id string, r double").select("id", F.round("r", 6).alias("r"))
-
-
-def _pagerank_by_rounds(ids: DataFrame, edges: DataFrame, cfg: Config, every: int) -> DataFrame:
-    n = ids.count()
-    if n == 0:
-        return ids.select("id", F.lit(0.0).alias("r"))
-    d = cfg.damping
     out = edges.groupBy(F.col("s").alias("id")).agg(F.count("*").alias("out"))
-    node = cut(ids.select("id").join(out, "id", "left"))
-    link = cut(edges.select(F.col("s").alias("id"), "t"))
-    rank = node.withColumn("r", F.lit(1.0 / n))
+    node = cut(ids.select("id").distinct().join(out, "id", "left")).repartition("id").persist()
+    link = edges.select(F.col("s").alias("id"), "t").repartition("id").persist()
+    n = node.count()
+    d = cfg.damping
+    rank = node.withColumn("r", F.lit(1.0 / max(n, 1)))
+    kept: list[DataFrame] = []
     for i in range(cfg.iterations):
-        loose = rank.where("out IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose"))
+        loose = rank.where("out IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("loose")).first()["loose"]
         share = rank.where("out IS NOT NULL").select("id", (F.col("r") * d / F.col("out")).alias("share"))
         got = link.join(share, "id").groupBy(F.col("t").alias("id")).agg(F.sum("share").alias("got"))
-        rank = node.join(got, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", (F.lit((1 - d) / n) + F.coalesce("got", F.lit(0.0)) + F.col("loose") * d / n).alias("r"))
-        if (i + 1) % every == 0 and i + 1 < cfg.iterations:
+        rank = node.join(got, "id", "left").select("id", "out", (F.lit((1 - d) / max(n, 1) + loose * d / max(n, 1)) + F.coalesce("got", F.lit(0.0))).alias("r"))
+        if (i + 1) % every == 0 or i + 1 == cfg.iterations:
             rank = cut(rank)
+            for x in kept:
+                x.unpersist()
+            kept = []
+        else:
+            rank = rank.persist()
+            kept.append(rank)
+    node.unpersist()
+    link.unpersist()
     return rank.select("id", F.round("r", 6).alias("r"))
 
 
 def neighbours(edges: DataFrame, centre: str, depth: int = 1) -> DataFrame:
-    """(id, hop) of what is within ``depth`` (at most 2) steps of ``centre``, in either direction."""
-    both = edges.select("s", "t").union(edges.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct()
+    """(id, hop) of what is within ``depth`` (at most 2) steps of ``centre``, in either direction.
+
+    Only links of the nodes last found are looked at, in both directions; no table of all links turned round is made.
+    """
     seen = edges.sparkSession.createDataFrame([(centre, 0)], "id string, hop int")
     front = seen
     for hop in range(1, min(depth, 2) + 1):
-        step = both.join(small(front.select(F.col("id").alias("s"))), "s").select(F.col("t").alias("id")).distinct()
-        front = step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        near = small(front.select(F.col("id").alias("at")))
+        out = edges.join(near, F.col("s") == F.col("at"), "left_semi").select(F.col("t").alias("id"))
+        back = edges.join(near, F.col("t") == F.col("at"), "left_semi").select(F.col("s").alias("id"))
+        front = cut(out.union(back).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(front)
     return seen
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusgraph.config import DEFAULT, KEYLESS_KINDS, Config
 from corpusgraph.functions import text as T
+from corpusgraph.operators.common import cut, small
 
 
 def profiles(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -19,9 +19,10 @@ def profiles(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         T.symbols(body, cfg.symbol_chars).alias("symbols"), T.headings(body).alias("headings"), T.curated_terms(body).alias("code_spans"),
         T.dir_key(body, url).alias("dir"), T.version(id_, url).alias("version"), T.base_key(id_, url).alias("base"),
     )
-    mates = F.when(F.col("dir").isNull(), F.lit(0)).otherwise(F.count("*").over(Window.partitionBy("dir")) - 1)
+    # members of a folder are counted on its name alone; a folder of any size is one number, and no folder is no group
+    mates = cut(docs.select(T.dir_key(body, url).alias("dir")).where("dir IS NOT NULL").groupBy("dir").agg((F.count("*") - 1).cast("int").alias("n_siblings")))
     n_terms = F.size(F.array_distinct(F.concat("code_spans", "headings", F.filter(F.transform("symbols", T.fold), lambda t: F.length(t) >= 2))))
-    return p.withColumns({"prose_len": F.length(T.strip(F.col("prose"))), "digest": T.digest(F.col("prose"), 200), "n_siblings": mates.cast("int"), "n_terms": n_terms})
+    return p.withColumns({"prose_len": F.length(T.strip(F.col("prose"))), "digest": T.digest(F.col("prose"), 200), "n_terms": n_terms}).join(small(mates), "dir", "left").withColumn("n_siblings", F.coalesce("n_siblings", F.lit(0)))
 
 
 def selected(enabled: tuple[str, ...] = KEYLESS_KINDS, heavy_ok: bool = True, cfg: Config = DEFAULT) -> Column:

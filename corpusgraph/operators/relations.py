@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusgraph.config import DEFAULT, STRUCTURAL_KINDS, SYMBOL_STOP, Config
 from corpusgraph.functions import text as T
-from corpusgraph.operators.common import df_ceiling, idf, nominated, pairs, small, top, with_count
+from corpusgraph.operators.common import df_ceiling, following, idf, nominated, pairs, small, top, with_count
 from corpusgraph.operators.profile import terms
 
 
 def duplicate_of(docs: DataFrame) -> DataFrame:
     """Chain of the sorted ids with one non-empty sha."""
-    after = F.lead("id").over(Window.partitionBy("sha").orderBy("id"))
-    return docs.where("sha <> ''").select(F.col("id").alias("s"), after.alias("t"), F.lit("duplicate_of").alias("k")).where("t IS NOT NULL")
+    return following(docs.where("sha <> ''"), "sha", []).select(F.col("id").alias("s"), F.col("next").alias("t"), F.lit("duplicate_of").alias("k"))
 
 
 def sibling_of(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -26,9 +27,9 @@ def sibling_of(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def supersedes(profile: DataFrame) -> DataFrame:
     """Each version of a family over the one before it; equal versions in (chapter, id) order."""
-    order = Window.partitionBy("base").orderBy("version", "chapter", F.concat("id", F.lit(".md")))
     fam = profile.where(F.col("version").isNotNull() & (F.length("base") >= 4))
-    return fam.select(F.col("id").alias("s"), F.lag("id").over(order).alias("t"), F.lit("supersedes").alias("k")).where("t IS NOT NULL")
+    order = [F.col("version"), F.col("chapter"), F.concat("id", F.lit(".md"))]
+    return following(fam, "base", order).select(F.col("next").alias("s"), F.col("id").alias("t"), F.lit("supersedes").alias("k"))
 
 
 def signatures(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -137,19 +138,51 @@ def shares_entity(entities: DataFrame, pages: int | None = None, cfg: Config = D
     return nominated(met.where("score >= 2"), cfg.entity_cap, "shares_entity")
 
 
-def semantic_similar(vectors: DataFrame, cfg: Config = DEFAULT, blocks: int = 16) -> DataFrame:
+#: Vectors of a block: two blocks of so many rows and their products are all that a task holds.
+BLOCK_VECTORS = 4096
+
+
+def semantic_similar(vectors: DataFrame, cfg: Config = DEFAULT, block: int = BLOCK_VECTORS) -> DataFrame:
     """Cosine of embeddings (id, embedding), thresholded before the cap.
 
-    Every pair is needed, so the vectors are taken in blocks: a block of unit vectors meets all rows by a hash of the
-    id, one block at a time in a task.
+    Every pair is needed.  Vectors are dealt to blocks of about ``block`` rows, as many as their number asks for, and each
+    pair of blocks is one product of matrices in one task.  A vector's best few of a block are all that the best few of
+    all blocks can come from, so that a task hands on a bounded number of rows for each vector.  Vectors of different
+    lengths, and those with nulls, meet nobody.
     """
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    x = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding", norm.alias("norm")).withColumn("block", F.pmod(F.hash("id"), F.lit(blocks)))
-    other = x.select(F.col("id").alias("b"), F.col("embedding").alias("eb"), F.col("norm").alias("nb"), F.col("block").alias("block_b"))
-    mine = x.select(F.col("id").alias("a"), F.col("embedding").alias("ea"), F.col("norm").alias("na"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block_b"))
-    dot = F.aggregate(F.zip_with("ea", "eb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    met = mine.join(other, "block_b").where("a < b").select("a", "b", F.round(dot / (F.col("na") * F.col("nb") + 1e-12), 9).alias("score"))
-    return nominated(met.where(F.col("score") >= cfg.embed_from), cfg.embed_cap, "semantic_similar")
+    cap, least = cfg.embed_cap, cfg.embed_from
+    id_type = vectors.schema["id"].dataType.simpleString()
+    x = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("embedding")).where(~F.exists("embedding", lambda v: v.isNull()))
+    blocks = max(1, -(-x.count() // block))
+    x = x.select("id", "embedding", F.size("embedding").alias("size"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    # block pair (i, j), i <= j, gets the rows of both
+    dealt = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+    def best(rows: pa.Table) -> pa.Table:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        own, ids = rows["own"].to_numpy(), rows["id"].to_pylist()
+        m = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), rows["size"][0].as_py())
+        norm = np.sqrt((m * m).sum(1))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        score = np.round((m[left] @ m[right].T) / (np.outer(norm[left], norm[right]) + 1e-12), 9)
+        if i == j:
+            np.fill_diagonal(score, -np.inf)
+        out: set[tuple[int, int]] = set()
+        for s, of, to in ((score, left, right), (score.T, right, left)):
+            for a, line in zip(of.tolist(), s, strict=True):
+                near = np.flatnonzero(line >= least)
+                if len(near) > cap:  # all that are as good as the last one that counts: ids decide later
+                    near = near[line[near] >= np.partition(line[near], -cap)[-cap]]
+                out.update((min(a, b), max(a, b)) for b in to[near].tolist())
+        pairs_ = sorted(out)
+        at = {r: k for k, r in enumerate(left.tolist())}, {r: k for k, r in enumerate(right.tolist())}
+        value = [float(score[at[0][a], at[1][b]] if a in at[0] and b in at[1] else score[at[0][b], at[1][a]]) for a, b in pairs_]
+        kind = rows["id"].type
+        return pa.table({"a": pa.array([ids[a] for a, _ in pairs_], kind), "b": pa.array([ids[b] for _, b in pairs_], kind), "score": pa.array(value, pa.float64())})
+
+    met = dealt.groupBy("size", "i", "j").applyInArrow(best, f"a {id_type}, b {id_type}, score double")
+    ordered = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
+    return nominated(ordered, cap, "semantic_similar")
 
 
 def directory_hubs(files: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -154,9 +154,10 @@ def mentions_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.mentions_symbol(profiles(_graph_docs(spark, sf_dir)[0]))
 
 
-@query(f"WITH {S.LINKS}, {S.overlap('coupled_with', 's', 't', 'cw_')} SELECT * FROM e_coupled_with")
+@query(f"WITH {S.OFFERS}, {S.overlap('coupled_with', 's', 't', 'cw_', 'offers')} SELECT * FROM e_coupled_with")
 def coupled_with(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.coupled_with(src.order_links(spark, sf_dir))
+    """Orders that take the same offers, a part by a supplier."""
+    return relations.coupled_with(src.offer_links(spark, sf_dir))
 
 
 @query(f"WITH {S.LINKS}, {S.overlap('co_cited_with', 't', 's', 'cc_')} SELECT * FROM e_co_cited_with")
@@ -272,7 +273,8 @@ def site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).report.select("verdict", "note", "edges", "docs")
 
 
-@query(f"WITH {S.LINKS}, {S.LINK_NODES}, g AS (SELECT id, count(s) AS g FROM nodes LEFT JOIN links ON links.t = id GROUP BY id), n AS (SELECT * FROM g ORDER BY g DESC, id LIMIT 500) SELECT s, t, k FROM links WHERE s IN (SELECT id FROM n) AND t IN (SELECT id FROM n)")
+@query(f"""WITH {S.LINKS}, {S.LINK_NODES}, l AS MATERIALIZED (SELECT s, t, k FROM links), d AS MATERIALIZED (SELECT t AS id, count(*) AS g FROM l GROUP BY t),
+n AS MATERIALIZED (SELECT id FROM nodes LEFT JOIN d USING (id) ORDER BY coalesce(g, 0) DESC, id LIMIT 500) SELECT s, t, k FROM l JOIN n a ON a.id = l.s JOIN n b ON b.id = l.t""")
 def trim_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of the 500 most linked nodes; ranks are left out so that ids break ties."""
     e = src.order_links(spark, sf_dir)
@@ -455,9 +457,11 @@ def live_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.live_edges(src.build_events(spark, sf_dir))
 
 
-@query(f"WITH {S.EVENTS} SELECT d AS target, count(*) AS n FROM (SELECT DISTINCT s, d, kind FROM log WHERE t = 'edge_added') WHERE d NOT IN (SELECT id FROM log WHERE id IS NOT NULL) GROUP BY d")
+@query(f"WITH {S.EVENTS}, known AS (SELECT id FROM log WHERE id IS NOT NULL AND NOT (id LIKE 'i%' AND substr(id, 2)::BIGINT % 3 = 0)) SELECT d AS target, count(*) AS n FROM (SELECT DISTINCT s, d, kind FROM log WHERE t = 'edge_added') WHERE d NOT IN (SELECT id FROM known) GROUP BY d")
 def pending_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.pending(src.build_events(spark, sf_dir))
+    """A log in which every third item is never announced."""
+    silent = F.col("id").startswith("i") & (F.substring("id", 2, 20).cast("long") % 3 == 0)
+    return events.pending(src.build_events(spark, sf_dir).where(F.col("id").isNull() | ~silent))
 
 
 @query(f"WITH {S.EVENTS} SELECT seq, t FROM log WHERE seq > 900")

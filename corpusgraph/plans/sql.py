@@ -28,6 +28,7 @@ FILES = f"""files AS (SELECT p_partkey AS k, 'pkg' || (p_partkey % 40) || '/mod'
   (['python', 'typescript', 'c', 'go', 'rust', 'java', 'ruby', NULL])[p_partkey % 8 + 1] AS lang FROM part)"""
 
 LINKS = """links AS (SELECT DISTINCT 'o' || lpad(l_orderkey::VARCHAR, 9, '0') AS s, 's' || lpad(l_suppkey::VARCHAR, 7, '0') AS t, CASE WHEN l_orderkey % 7 = 0 THEN 'imports' ELSE 'ref' END AS k FROM lineitem)"""
+OFFERS = """offers AS (SELECT DISTINCT 'o' || lpad(l_orderkey::VARCHAR, 9, '0') AS s, 'x' || l_partkey || '_' || l_suppkey AS t, CASE WHEN l_orderkey % 7 = 0 THEN 'imports' ELSE 'ref' END AS k FROM lineitem)"""
 LINK_NODES = """nodes AS (SELECT 'o' || lpad(o_orderkey::VARCHAR, 9, '0') AS id, o_orderpriority AS c, 'Order ' || o_orderkey AS t FROM orders
   UNION ALL SELECT 's' || lpad(s_suppkey::VARCHAR, 7, '0'), 'supplier', s_name FROM supplier)"""
 

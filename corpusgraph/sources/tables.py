@@ -80,6 +80,13 @@ def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("s"), F.concat(F.lit("s"), F.lpad(F.col("l_suppkey").cast("string"), 7, "0")).alias("t"), k.alias("k")).distinct()
 
 
+def offer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence (s, t, k) from orders to the offers they take, a part by a supplier: few orders share one."""
+    k = F.when(F.col("l_orderkey") % 7 == 0, "imports").otherwise("ref")
+    offer = F.concat(F.lit("x"), "l_partkey", F.lit("_"), "l_suppkey")
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("s"), offer.alias("t"), k.alias("k")).distinct()
+
+
 def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("id"), F.col("o_orderpriority").alias("c"), F.concat(F.lit("Order "), "o_orderkey").alias("t"))
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")).alias("id"), F.lit("supplier").alias("c"), F.col("s_name").alias("t"))

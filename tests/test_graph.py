@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import gzip
 import math
+import random
 
 import pyarrow as pa
 import pytest
@@ -51,7 +52,44 @@ def test_pagerank_spreads_dangling_rank(spark):
     got = {r.id: r.r for r in graph.pagerank(n, e).collect()}
     assert all(math.isclose(got[k], pr[k], abs_tol=1e-6) for k in pr) and math.isclose(sum(got.values()), 1, abs_tol=1e-5)
     assert graph.pagerank(n.limit(0), e).count() == 0
-    assert {r.id: r.r for r in graph.pagerank(n, e, one_task_links=0).collect()} == got
+    assert {r.id: r.r for r in graph.pagerank(n.union(n), e, every=3).collect()} == got  # a repeated id is one node
+
+
+def test_following_rows_of_large_groups(spark):
+    from corpusgraph.operators import relations
+    from corpusgraph.operators.common import following
+
+    rows = [(f"d{i:05d}", "hot" if i % 3 else f"s{i}") for i in range(3000)] + [("x", ""), ("y", "")]
+    got = {(r.s, r.t) for r in relations.duplicate_of(spark.createDataFrame(rows, "id string, sha string")).collect()}
+    hot = [i for i, s in rows if s == "hot"]
+    assert got == set(zip(hot, hot[1:], strict=False))
+    again = following(spark.createDataFrame([("b", "g", 2), ("a", "g", 2), ("c", "g", 1), ("d", "h", 1), ("e", None, 1)], "id string, g string, v int"), "g", [F.col("v")])
+    assert {(r.id, r.next) for r in again.collect()} == {("c", "a"), ("a", "b")}
+
+
+def test_semantic_similar_by_blocks(spark):
+    from corpusgraph.config import DEFAULT
+    from corpusgraph.operators import relations
+
+    r = random.Random(3)
+    base = [[r.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    vectors = [(f"v{i:03d}", [x + r.gauss(0, 0.4) for x in base[i % 5]]) for i in range(150)] + [("same1", [1.0] * 6), ("same2", [2.0] * 6), ("short", [1.0, 0.0]), ("zero", [0.0] * 6), (None, [1.0] * 6), ("none", None), ("hole", [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    known = [(i, v) for i, v in vectors if i and v and None not in v]
+    score = {}
+    for i, v in known:
+        for j, w in known:
+            if i < j and len(v) == len(w):
+                n = math.sqrt(sum(x * x for x in v)) * math.sqrt(sum(x * x for x in w)) + 1e-12
+                score[i, j] = round(sum(x * y for x, y in zip(v, w, strict=True)) / n, 9)
+    best = {}
+    for (i, j), c in score.items():
+        if c >= 0.7:
+            for a, b in ((i, j), (j, i)):
+                best.setdefault(a, []).append((-c, b))
+    want = {(a, b) for a, line in best.items() for _, b in sorted(line)[:5] if a < b}
+    for block in (4096, 40):
+        got = relations.semantic_similar(spark.createDataFrame(vectors, "id string, embedding array<double>"), DEFAULT, block)
+        assert {(x.s, x.t) for x in got.collect()} == want and len(want) > 100
 
 
 def test_neighbours_and_induced(spark):
