@@ -220,7 +220,8 @@ def _linkable(diff: DataFrame, threshold: float) -> DataFrame:
     d = diff.withColumn("far", F.col("added") * threshold + F.col("removed") > (1 - threshold) * F.col("size") + 1e-9)
     d = d.withColumn("g", threshold * F.col("added") + F.col("removed"))
     # centres without a far document have no pair to look for
-    d = d.join(d.groupBy("a").agg(F.min("g").alias("g_low"), F.max(F.when(F.col("far"), F.col("g"))).alias("g_high")).where("g_high IS NOT NULL"), "a")
+    bounds = cut(d.groupBy("a").agg(F.min("g").alias("g_low"), F.max(F.when(F.col("far"), F.col("g"))).alias("g_high")).where("g_high IS NOT NULL"))
+    d = d.join(small(bounds), "a")
     d = d.withColumn("room", (1 - threshold) * F.col("size") - F.col("g") + 1e-6)
     unit = d.select("a", F.col("b").alias("x"), "component", "far", "g", "g_low", "g_high", "room", F.explode("units").alias("u"))
     often = unit.groupBy("a", "u").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 1 AND n_far > 0 AND lo <> hi").select("a", "u", "n")
