@@ -171,9 +171,15 @@ def page_headings(html: Column, most: int = 12) -> Column:
 
 
 def page_description(html: Column, chars: int = 200) -> Column:
-    by = lambda key: F.regexp_extract(html, rf"(?is)<meta\s+(?:name|property)=[\"']{key}[\"']\s+content=[\"']([^\"']*)[\"']", 1)
-    d = by("description")
-    return F.substring(collapse(F.when(d != "", d).otherwise(by("og:description"))), 1, chars)
+    """Content of the description, else of the og:description, whatever the order of the attributes."""
+
+    def by(name: str, key: str) -> Column:
+        tag = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), 0), lambda m: m.rlike(rf"(?i)\b{name}\s*=\s*[\"']?{key}[\"'\s/>]"))
+        said = F.transform(tag, lambda m: collapse(F.coalesce(F.nullif(F.regexp_extract(m, r"(?is)\bcontent\s*=\s*\"([^\"]*)\"", 1), F.lit("")), F.regexp_extract(m, r"(?is)\bcontent\s*=\s*'([^']*)'", 1))))
+        return F.coalesce(F.get(said, F.lit(0)), F.lit(""))
+
+    d = by("name", "description")
+    return F.substring(F.when(d != "", d).otherwise(by("property", "og:description")), 1, chars)
 
 
 def hrefs(html: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import zipfile
 from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusgraph_package", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    fd, name = tempfile.mkstemp(prefix="corpusgraph-", suffix=".zip")
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for p in sorted((root / "corpusgraph").rglob("*.py")):
+            z.write(p, str(p.relative_to(root)))
+    sc.addPyFile(name)
+    sc._corpusgraph_package = True
+
+
 def top(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark limits groups before the shuffle."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
