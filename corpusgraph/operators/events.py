@@ -61,7 +61,7 @@ def pending(log: DataFrame) -> DataFrame:
 
 
 def counters(log: DataFrame) -> DataFrame:
-    """One row: nodes, edges, last_seq, and the running maxima of pages as the monotone counters show them."""
+    """One row: different nodes and edges, and the last sequence number."""
     return log.agg(
         F.count_distinct(F.when(F.col("t").isin("node_added", "node_updated"), F.col("id"))).alias("nodes"),
         F.count_distinct(F.when(F.col("t") == "edge_added", F.struct("s", "d", _kind()))).alias("edges"),
@@ -69,6 +69,19 @@ def counters(log: DataFrame) -> DataFrame:
     )
 
 
+def running_maxima(log: DataFrame, value: str, batch: int = 64) -> DataFrame:
+    """(batch, shown) of a log with a counter ``value`` that may fall back: what a display that never goes back shows
+    after each ``batch`` events.
+
+    Maxima go up by blocks of batches, so no task sees the whole log.
+    """
+    each = numbered(log.select("seq", F.col(value).alias("v")), "seq").withColumn("batch", F.floor(F.col("__i") / batch)).groupBy("batch").agg(F.max("v").alias("v"))
+    each = each.withColumn("block", F.floor(F.col("batch") / 1024))
+    block = each.groupBy("block").agg(F.max("v").alias("v")).select("block", F.max("v").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inside = Window.partitionBy("block").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return each.join(F.broadcast(block), "block").select("batch", F.greatest(F.max("v").over(inside), "before").alias("shown"))
+
+
 def late_edges(log: DataFrame) -> DataFrame:
     """Edges with ``late`` = 1 where the target was announced after the edge, or never."""
     born = log.where("t = 'node_added'").groupBy(F.col("id").alias("d")).agg(F.min("seq").alias("born"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.config import DEFAULT, STRUCTURAL_KINDS, Config
+from corpusgraph.config import DEFAULT, DERIVED_KINDS, STRUCTURAL_KINDS, Config
 from corpusgraph.operators.common import cut, small
 
 
@@ -99,6 +99,41 @@ def title_search(nodes: DataFrame, query: str, n: int = 8) -> DataFrame:
     return nodes.where(F.contains(F.lower("t"), F.lit(query.lower())) & F.lit(len(query) >= 2)).orderBy(F.desc("g"), "id").limit(n)
 
 
+# Weight of a rank beside a degree in the order of labels, and how many nodes and edges a sketch shows.
+RANK_WEIGHT, SKETCH_NODES, SKETCH_EDGES = 400, 5000, 20_000
+
+
+def label_rank(nodes: DataFrame, budget: int) -> DataFrame:
+    """The ``budget`` nodes (id, degree, r) that get a label first: by degree and weighted rank, ties by id."""
+    score = F.col("degree") + F.col("r") * RANK_WEIGHT
+    return nodes.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), "id").limit(budget)
+
+
+def stride_sample(nodes: DataFrame, edges: DataFrame, most: int = SKETCH_NODES, most_edges: int = SKETCH_EDGES) -> tuple[DataFrame, DataFrame]:
+    """Every k-th node in the order of ids, k the smallest step with at most ``most`` of them, and the edges among them,
+    the first ``most_edges`` in the order of both ends: a sketch of a graph that is too large to show."""
+    from corpusgraph.operators.index import numbered
+
+    placed = numbered(nodes.select("id"), "id")
+    shown = cut(placed.where(F.col("__i") % F.ceil(F.greatest(F.col("__n"), F.lit(1)) / most) == 0).select("id"))
+    return shown, induced(edges, shown).orderBy("s", "t", "k").limit(most_edges)
+
+
+# Weights of nodes and edges near the focus and away from it.
+NODE_DIM, EDGE_DIM = (1.2, 0.07), (1.7, 0.035)
+
+
+def in_focus(nodes: DataFrame, edges: DataFrame, centre: str, hidden_kinds: tuple[str, ...] = DERIVED_KINDS) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, ...) with ``near``, whether they are the centre or next to it by an edge of a shown kind, and how far
+    they are dimmed; edges with their dim.  Derived kinds are hidden unless told."""
+    shown = edges.where(~F.col("k").isin(*hidden_kinds)) if hidden_kinds else edges
+    near = cut(neighbours(shown, centre, 1).select("id", F.lit(True).alias("near")))
+    marked = nodes.join(small(near), "id", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    dim = lambda weights, on: F.when(on, F.lit(weights[0])).otherwise(F.lit(weights[1])).alias("dim")
+    at = (F.col("s") == centre) | (F.col("t") == centre)
+    return marked.select("*", dim(NODE_DIM, F.col("near"))), shown.select("s", "t", "k", dim(EDGE_DIM, at))
+
+
 def visible(nodes: DataFrame, edges: DataFrame, chapters: list[str] | None = None, query: str = "", hidden_kinds: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, c, t) and edges that a view shows: chapter and title filters; an edge needs both ends and a shown kind."""
     keep = F.lit(True)

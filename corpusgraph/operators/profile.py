@@ -46,3 +46,9 @@ def terms(profile: DataFrame) -> DataFrame:
     heads = profile.select("id", F.explode("headings").alias("term"), F.lit(2).alias("w"))
     syms = profile.select("id", F.explode(F.transform("symbols", T.fold)).alias("term"), F.lit(2).alias("w")).where(F.length("term") >= 2)
     return spans.union(heads).union(syms).groupBy("id", "term").agg(F.sum("w").cast("int").alias("w"))
+
+
+def narrowed(gates: DataFrame, picks: DataFrame) -> DataFrame:
+    """``gates`` (id, dims) cut down to what picks (id, dims) name: a pick may narrow a document's gate, never widen it."""
+    both = gates.join(picks.select("id", F.col("dims").alias("p")), "id", "left")
+    return both.select("id", F.when(F.col("p").isNull(), F.col("dims")).otherwise(F.array_intersect("dims", "p")).alias("dims"))

@@ -11,7 +11,7 @@ from corpusgraph.config import DEFAULT, Config, resolve_mode
 from corpusgraph.functions import text as T
 from corpusgraph.operators import claims, graph, index, relations
 from corpusgraph.operators.common import cut, union
-from corpusgraph.operators.profile import profiles, selected
+from corpusgraph.operators.profile import narrowed, profiles, selected
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,7 @@ def derived_edges(profile: DataFrame, evidence: DataFrame, enabled: tuple[str, .
         return evidence.limit(0).select("s", "t", "k")
     gates = profile.select("id", selected(enabled, heavy_ok, cfg).alias("dims"))
     if picks is not None:
-        narrowed = gates.join(picks.select("id", F.col("dims").alias("p")), "id", "left")
-        gates = narrowed.select("id", F.when(F.col("p").isNull(), F.col("dims")).otherwise(F.array_intersect("dims", "p")).alias("dims"))
+        gates = narrowed(gates, picks)
     return claims.claims(union(found), evidence, gates)
 
 

@@ -12,7 +12,7 @@ from corpusgraph.functions import ids
 from corpusgraph.functions import text as T
 from corpusgraph.operators import claims, events, graph, index, layout, links, relations, retrieval, view
 from corpusgraph.operators.common import top
-from corpusgraph.operators.profile import profiles, selected, terms
+from corpusgraph.operators.profile import narrowed, profiles, selected, terms
 from corpusgraph.plans import sql as S
 from corpusgraph.plans.build import build_graph
 from corpusgraph.sources import files as tree
@@ -134,7 +134,8 @@ def shares_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    code = src.source_files(spark, sf_dir).where("lang = 'python'")
+    """Manuals, and a tree of source and text files of eight kinds, with their evidence."""
+    code = src.source_files(spark, sf_dir)
     manual = src.manuals(spark, sf_dir)
     docs = manual.unionByName(tree.tree_docs(code))
     refs = links.body_links(manual).select(F.col("src").alias("s"), F.col("dst").alias("t"), F.lit("ref").alias("k"))
@@ -322,6 +323,46 @@ def settled_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.settle(nodes, edges)
 
 
+@query(f"""WITH {S.LINKS}, {S.LINK_NODES}, d AS MATERIALIZED (SELECT id, count(*) AS degree FROM (SELECT s AS id FROM links UNION ALL SELECT t FROM links) GROUP BY id), m AS (SELECT count(*) AS m FROM links)
+SELECT id, degree, round(degree + 400 * (degree / m::DOUBLE), 6) AS score FROM d, m ORDER BY score DESC, id LIMIT 40""")
+def label_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 nodes that get a label; a node's share of all edges stands for its rank."""
+    e = src.order_links(spark, sf_dir)
+    n = graph.degree(e).crossJoin(F.broadcast(e.agg(F.count("*").alias("m")))).withColumn("r", F.col("degree") / F.col("m"))
+    return graph.label_rank(n, 40).select("id", "degree", "score")
+
+
+@query(f"""WITH {S.LINKS}, {S.LINK_NODES}, o AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM nodes), p AS MATERIALIZED (SELECT id FROM o WHERE i % ceil(n / 5000.0::DOUBLE)::BIGINT = 0)
+SELECT s, t, k FROM links JOIN p a ON a.id = s JOIN p b ON b.id = t ORDER BY s, t, k LIMIT 20000""")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: edges among every k-th node."""
+    return graph.stride_sample(src.order_nodes(spark, sf_dir), src.order_links(spark, sf_dir))[1]
+
+
+@query(f"""WITH {S.LINKS}, {S.LINK_NODES}, v AS MATERIALIZED (SELECT * FROM links WHERE k <> 'imports'), h AS MATERIALIZED (SELECT '{CENTRE}' AS id UNION SELECT t FROM v WHERE s = '{CENTRE}' UNION SELECT s FROM v WHERE t = '{CENTRE}')
+SELECT nodes.id, c, h.id IS NOT NULL AS near, CASE WHEN h.id IS NOT NULL THEN 1.2::DOUBLE ELSE 0.07::DOUBLE END AS dim FROM nodes LEFT JOIN h ON h.id = nodes.id""")
+def in_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.in_focus(src.order_nodes(spark, sf_dir), src.order_links(spark, sf_dir), CENTRE, ("imports",))[0].select("id", "c", "near", "dim")
+
+
+@query("""WITH l AS (SELECT DISTINCT CASE l_orderkey % 5 WHEN 0 THEN 'index' WHEN 1 THEN 'o' || l_orderkey || '_index' ELSE 'o' || l_orderkey END AS s, 's' || l_suppkey AS t, l_orderkey % 5 AS r FROM lineitem)
+SELECT s, t, CASE r WHEN 0 THEN 'hub' WHEN 1 THEN 'contains' ELSE 'ref' END AS k FROM l""")
+def hub_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose sources are the index, an index of a part, or a page."""
+    k = F.col("l_orderkey")
+    s = F.when(k % 5 == 0, "index").when(k % 5 == 1, F.concat(F.lit("o"), k, F.lit("_index"))).otherwise(F.concat(F.lit("o"), k))
+    return graph.classify_hubs(src.table(spark, sf_dir, "lineitem").select(s.alias("s"), F.concat(F.lit("s"), "l_suppkey").alias("t")).distinct())
+
+
+@query(f"""WITH {S.MANUALS}, {S.profile('manuals')}, d AS (SELECT id, list_filter(['sibling_of', 'similar_to', 'shares_heading', 'shares_term'], lambda x: CASE x WHEN 'similar_to' THEN prose_len >= 220 WHEN 'sibling_of' THEN n_siblings BETWEEN 1 AND 12 WHEN 'shares_heading' THEN n_headings >= 3 ELSE n_terms >= 2 END) AS dims FROM prof)
+SELECT id, array_to_string(list_sort(CASE WHEN substr(id, 6)::BIGINT % 2 = 0 THEN list_filter(dims, lambda x: x IN ('similar_to', 'shares_entity')) ELSE dims END), ',') AS dims FROM d""")
+def picked_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates of the manuals; a router has picked two dimensions for every second one."""
+    p = profiles(src.manuals(spark, sf_dir))
+    picks = p.where(F.substring("id", 6, 20).cast("long") % 2 == 0).select("id", F.array(F.lit("similar_to"), F.lit("shares_entity")).alias("dims"))
+    return narrowed(p.select("id", selected().alias("dims")), picks).select("id", F.array_join(F.array_sort("dims"), ",").alias("dims"))
+
+
 # -- local trees -----------------------------------------------------------------------------
 
 _STEP = "files b ON b.k IN (a.k + 8, a.k + 40) AND b.lang IS NOT DISTINCT FROM a.lang"
@@ -342,6 +383,12 @@ def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.doc_links(src.source_files(spark, sf_dir))
 
 
+@query(f"""WITH {S.FILES} SELECT CASE WHEN lang IS NULL THEN 'pkg' || (k % 40) || '_mod' || k ELSE replace(relpath, '/', '_') END AS id, 'pkg' || (k % 40) AS chapter, CASE WHEN lang IS NULL THEN 'Title ' || k ELSE relpath END AS title FROM files
+UNION ALL SELECT 'pkg' || k || '_README', 'pkg' || k, 'Package ' || k FROM files WHERE k < 40""")
+def doc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.tree_docs(src.source_files(spark, sf_dir)).select("id", "chapter", "title")
+
+
 @query(f"""WITH {S.FILES} SELECT 'pkg' || a.k || '_README' AS s, CASE WHEN b.lang IS NULL THEN 'pkg' || (b.k % 40) || '_mod' || b.k ELSE replace(b.relpath, '/', '_') END AS t, 'contains' AS k
 FROM files a JOIN files b ON b.k % 40 = a.k WHERE a.k < 40 QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY t) <= 200""")
 def hub_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,6 +425,38 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.table(spark, sf_dir, "pages").select("page_id", T.page_title(h, F.col("url")).alias("title"), F.array_join(T.page_headings(h), "|").alias("headings"), T.page_description(h).alias("description"))
 
 
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<article>([\s\S]*)</article>', 1) AS h FROM pages),
+c AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g')) AS t FROM a)
+SELECT page_id, regexp_replace(t, '&amp;?', '&', 'g') AS text FROM c""")
+def content_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of the element that holds a page's content."""
+    p = src.table(spark, sf_dir, "pages")
+    parts = web.page_parts(p.select(F.col("page_id").cast("string").alias("url"), "html"))
+    return parts.select(F.col("url").cast("long").alias("page_id"), "text")
+
+
+@query(r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'page ' || page_id WHEN 1 THEN 'og ' || page_id WHEN 2 THEN 'both ' || page_id ELSE '' END AS description FROM pages""")
+def page_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that are given descriptions in several forms, and none to every fourth."""
+    k = F.col("page_id")
+    meta = F.when(k % 4 == 0, F.concat(F.lit('<meta content="page  '), k, F.lit('" name="description">'))).when(k % 4 == 1, F.concat(F.lit("<META property='og:description' content='og "), k, F.lit("'/>"))).when(
+        k % 4 == 2, F.concat(F.lit('<meta property="og:description" content="no"><meta name=description content="both '), k, F.lit('">'))).otherwise('<meta name="keywords" content="no">')
+    h = F.replace("html", F.lit("<title>"), F.concat(meta, F.lit("<title>")))
+    return src.table(spark, sf_dir, "pages").select("page_id", T.page_description(h).alias("description"))
+
+
+@query("""WITH n AS (SELECT 'https://parts.example/p/' || (p_partkey % 20) || '/' || p_size AS url, p_partkey % 20 AS pos FROM part),
+f AS (SELECT url, min(pos) AS pos FROM n GROUP BY url), e AS (SELECT pos, count(*) AS n FROM f GROUP BY pos), b AS (SELECT pos, coalesce(sum(n) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT url FROM f JOIN b USING (pos) WHERE before < 300""")
+def sitemap_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sitemap of 20 child sitemaps, read until 300 addresses are there."""
+    k = F.col("p_partkey")
+    locs = src.table(spark, sf_dir, "part").select((k % 20).alias("at"), F.concat(F.lit("<loc>https://parts.example/p/"), k % 20, F.lit("/"), "p_size", F.lit("</loc>")).alias("loc"))
+    child = locs.groupBy("at").agg(F.array_join(F.sort_array(F.collect_set("loc")), "").alias("body")).select(F.concat(F.lit("https://parts.example/m"), "at", F.lit(".xml")).alias("url"), "body")
+    root = spark.range(1).select(F.lit("https://parts.example/sitemap.xml").alias("url"), F.lit("".join(f"<loc>https://parts.example/m{i}.xml</loc>" for i in range(30))).alias("body"))
+    return web.sitemap_inventory(root.unionByName(child), "https://parts.example/sitemap.xml", "https://parts.example/", enough=300)
+
+
 @query(r"""WITH l AS (SELECT url AS src, regexp_extract(url, '^(\w+://[^/?#]*)', 1) || regexp_replace(unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)), '[?#].*$', '') AS dst FROM pages) SELECT DISTINCT src, dst FROM l""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.page_links(src.table(spark, sf_dir, "pages"))
@@ -499,6 +578,14 @@ def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.replay(n, src.order_links(spark, sf_dir)).select("seq", "t", "id", "s", "d")
 
 
+@query("""WITH e AS (SELECT event_id + 1 AS seq, user_id AS v FROM events), n AS (SELECT v, (row_number() OVER (ORDER BY seq) - 1) // 64 AS batch FROM e), b AS (SELECT batch, max(v) AS v FROM n GROUP BY batch)
+SELECT batch, max(v) OVER (ORDER BY batch) AS shown FROM b""")
+def running_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a display that never goes back shows of a counter; the users' numbers stand for it."""
+    e = src.table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq"), F.col("user_id").alias("pages"))
+    return events.running_maxima(e, "pages")
+
+
 # -- retrieval ---------------------------------------------------------------------------------------------------
 
 

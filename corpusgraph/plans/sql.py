@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from corpusgraph.config import DERIVED_KINDS, STOP, SYMBOL_STOP
+import re
+
+from corpusgraph.config import DERIVED_KINDS, EVIDENCE_KINDS, STOP, SYMBOL_STOP
+from corpusgraph.sources.tables import FILE_TEXTS
+
 
 def names(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
@@ -154,17 +158,31 @@ r{i + 1} AS MATERIALIZED (SELECT x.id, 0.15::DOUBLE / n + coalesce(g, 0) + 0.85:
     return ",\n".join(parts)
 
 
-#: The graph's documents: manuals and Python files behind their headers.
-GRAPH_DOCS = """gfiles AS (SELECT k, relpath, replace(relpath, '/', '_') AS id, concat('path: ', relpath, chr(10), 'language: python', chr(10), 'symbols: make_part_', k, chr(10), chr(10),
-    'import pkg', (k + 8) % 40, '.mod', k + 8, chr(10), 'from . import mod', k + 40, chr(10), chr(10), 'def make_part_', k, '():', chr(10),
-    '    return make_part_', k + 8, '() + make_part_', k + 16, '() + make_part_', k + 8, '()', chr(10)) AS body FROM files WHERE k % 8 = 0),
-gdocs AS (SELECT id, chapter, title, url, sha, body FROM manuals
-  UNION ALL SELECT id, 'pkg' || (k % 40), relpath, 'file:///' || relpath, sha256(body), body FROM gfiles),
-links AS (SELECT s, t, k FROM (
+def filled(template: str) -> str:
+    """A template of ``sources.tables.FILE_TEXTS`` as SQL."""
+    parts = [f"({x[1:-1]})" if x.startswith("{") else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in re.split(r"(\{[^}]*\})", template) if x]
+    return "concat(" + ", ".join(parts) + ")"
+
+
+_TEXT = "CASE k % 8 " + " ".join(f"WHEN {i} THEN {filled(t)}" for i, t in enumerate(FILE_TEXTS)) + " END"
+_FILE_ID = "CASE WHEN lang IS NULL THEN 'pkg' || (k % 40) || '_mod' || k ELSE replace(relpath, '/', '_') END"
+#: The graph's documents: manuals, and source and text files as a tree of files has them.
+GRAPH_DOCS = f"""tfiles AS MATERIALIZED (SELECT k, lang, relpath, {_FILE_ID} AS id, {_TEXT} AS content FROM files),
+gfiles AS MATERIALIZED (SELECT k, lang, relpath, id, CASE WHEN lang IS NULL THEN content ELSE concat('path: ', relpath, chr(10), 'language: ', lang, chr(10), 'symbols: ',
+    CASE lang WHEN 'python' THEN 'make_part_' || k WHEN 'rust' THEN 'mod' || (k + 40) ELSE '(none detected)' END, chr(10), chr(10), content) END AS body, CASE WHEN lang IS NULL THEN 'Title ' || k ELSE relpath END AS title FROM tfiles
+  UNION ALL SELECT k, 'readme', 'pkg' || k || '/README.md', 'pkg' || k || '_README', '# Package ' || k || chr(10), 'Package ' || k FROM files WHERE k < 40),
+gdocs AS MATERIALIZED (SELECT id, chapter, title, url, sha, body FROM manuals
+  UNION ALL SELECT id, split_part(id, '_', 1), title, 'file:///' || relpath, sha256(body), body FROM gfiles),
+golist AS (SELECT k % 40 AS p, id FROM (SELECT k, relpath, id FROM tfiles UNION ALL SELECT k, relpath, id FROM gfiles WHERE lang = 'readme') QUALIFY row_number() OVER (PARTITION BY k % 40 ORDER BY relpath) <= 20),
+evid AS (
     SELECT 'part_' || lpad(p_partkey::VARCHAR, 7, '0') AS s, 'part_' || lpad((p_partkey * 5 + 2)::VARCHAR, 7, '0') AS t, 'ref' AS k FROM part
     UNION SELECT 'part_' || lpad(p_partkey::VARCHAR, 7, '0'), 'part_' || lpad((p_partkey + 9)::VARCHAR, 7, '0'), 'ref' FROM part
-    UNION SELECT a.id, b.id, 'imports' FROM gfiles a JOIN gfiles b ON b.k IN (a.k + 8, a.k + 40))
-  WHERE s <> t AND t IN (SELECT id FROM gdocs))"""
+    UNION SELECT a.id, b.id, 'imports' FROM tfiles a JOIN tfiles b ON b.k IN (a.k + 8, a.k + 40) AND a.lang = b.lang WHERE a.lang NOT IN ('go', 'java')
+    UNION SELECT a.id, b.id, 'imports' FROM tfiles a JOIN tfiles b ON b.k = a.k + 8 WHERE a.lang = 'java'
+    UNION SELECT a.id, b.id, 'imports' FROM tfiles a JOIN golist b ON b.p = (a.k + 8) % 40 WHERE a.lang = 'go'
+    UNION SELECT a.id, b.id, 'ref' FROM tfiles a JOIN tfiles b ON b.k IN (a.k + 8, a.k + 40) WHERE a.lang IS NULL
+    UNION SELECT 'pkg' || (k % 40) || '_README', id, 'contains' FROM (SELECT k, id FROM tfiles QUALIFY row_number() OVER (PARTITION BY k % 40 ORDER BY id) <= 200)),
+links AS MATERIALIZED (SELECT s, t, arg_min(k, list_position([{names(EVIDENCE_KINDS)}], k)) AS k FROM evid WHERE s <> t AND t IN (SELECT id FROM gdocs) AND s IN (SELECT id FROM gdocs) GROUP BY s, t)"""
 
 
 def graph_edges() -> str:

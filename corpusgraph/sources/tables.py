@@ -43,21 +43,23 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANGUAGES = [(".py", "python"), (".ts", "typescript"), (".c", "c"), (".go", "go"), (".rs", "rust"), (".java", "java"), (".rb", "ruby"), (".md", None)]
 
 
+_PKG, _MOD = "pkg{(k + 8) % 40}", "mod{k + 8}"
+#: Contents by the remainder of the key; what is in braces is computed from the key k, in Spark and in the queries' SQL alike.
+FILE_TEXTS = (
+    f"import {_PKG}.{_MOD}\nfrom . import mod{{k + 40}}\n\ndef make_part_{{k}}():\n    return make_part_{{k + 8}}() + make_part_{{k + 16}}() + make_part_{{k + 8}}()\n",
+    f"import x from '../{_PKG}/{_MOD}';\nimport y from './mod{{k + 40}}';\nimport z from 'react';\n",
+    f'#include "mod{{k + 40}}.c"\n#include "{_PKG}/{_MOD}.c"\n#include <stdio.h>\n',
+    f'package x\nimport (\n  "fmt"\n  "example.com/x/{_PKG}"\n)\n',
+    f"mod mod{{k + 40}};\nuse crate::{_PKG}::{_MOD};\n",
+    f"import {_PKG}.{_MOD};\nimport java.util.List;\n",
+    f"require_relative '../{_PKG}/{_MOD}'\nrequire_relative 'mod{{k + 40}}'\n",
+    f"# Title {{k}}\n\nSee [a](../{_PKG}/{_MOD}.md) and [[Mod{{k + 40}}]], not ![pic](mod{{k}}.png), [gone](nowhere.md) or [web](https://x.example/).\n\n```\n[fenced](mod{{k}}.md)\n```\n",
+)
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of files (relpath, lang, content) written from the part table: each imports the files 8 and 40 keys on."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name")
-    a, b = "pkg{(k + 8) % 40}", "mod{k + 8}"
-    text = {
-        0: f"import {a}.{b}\nfrom . import mod{{k + 40}}\n\ndef make_part_{{k}}():\n    return make_part_{{k + 8}}() + make_part_{{k + 16}}() + make_part_{{k + 8}}()\n",
-        1: f"import x from '../{a}/{b}';\nimport y from './mod{{k + 40}}';\nimport z from 'react';\n",
-        2: f'#include "mod{{k + 40}}.c"\n#include "{a}/{b}.c"\n#include <stdio.h>\n',
-        3: f'package x\nimport (\n  "fmt"\n  "example.com/x/{a}"\n)\n',
-        4: f"mod mod{{k + 40}};\nuse crate::{a}::{b};\n",
-        5: f"import {a}.{b};\nimport java.util.List;\n",
-        6: f"require_relative '../{a}/{b}'\nrequire_relative 'mod{{k + 40}}'\n",
-        7: f"# Title {{k}}\n\nSee [a](../{a}/{b}.md) and [[Mod{{k + 40}}]], not ![pic](mod{{k}}.png), [gone](nowhere.md) or [web](https://x.example/).\n\n```\n[fenced](mod{{k}}.md)\n```\n",
-    }
-
     def filled(template: str):
         parts = []
         for i, piece in enumerate(template.replace("{", "\0{").replace("}", "}\0").split("\0")):
@@ -68,7 +70,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values: F.element_at(F.array(*values), (kind + 1).cast("int"))
     files = part.select(
         F.concat(F.lit("pkg"), F.col("k") % 40, F.lit("/mod"), "k", pick([F.lit(s) for s, _ in LANGUAGES])).alias("relpath"),
-        pick([F.lit(x) for _, x in LANGUAGES]).alias("lang"), pick([filled(text[i]) for i in range(8)]).alias("content"),
+        pick([F.lit(x) for _, x in LANGUAGES]).alias("lang"), pick([filled(t) for t in FILE_TEXTS]).alias("content"),
     )
     readme = part.where("k < 40").select(F.concat(F.lit("pkg"), "k", F.lit("/README.md")).alias("relpath"), F.lit(None).cast("string").alias("lang"), F.concat(F.lit("# Package "), "k", F.lit("\n")).alias("content"))
     return files.unionByName(readme)
