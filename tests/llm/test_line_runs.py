@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 
 import pytest
 from test_operators import frame
@@ -12,24 +13,36 @@ from corpusgraph.llm import line_chunks
 from corpusgraph.llm.queries import QUERIES
 
 
-def brute_runs(docs, words=line_chunks.RUN_WORDS):
-    """Texts without the lines of any run of more than ``words`` words or 240 characters that also stands at a smaller (id, line)."""
+def runs_gone(docs, words=line_chunks.RUN_WORDS):
+    """Numbers of the lines of any run of more than ``words`` words or 240 characters that also stands at a smaller (id, line)."""
     lines = [(d, t.split("\n")) for d, t in sorted(docs)]
+    places = defaultdict(list)
+    for k, (_, own) in enumerate(lines):
+        for i, x in enumerate(own):
+            places[x].append((k, i))
     out = {}
     for k, (d, own) in enumerate(lines):
         gone = set()
-        for e, other in lines[: k + 1]:
-            for i in range(len(own)):
-                for j in range(i if e == d else len(other)):
-                    n = 0
+        for i, x in enumerate(own):
+            for e, j in places[x] if x.strip() else ():
+                if (e, j) < (k, i):
+                    other, n = lines[e][1], 0
                     while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
                         n += 1
+                    while not own[i + n - 1].strip():  # blank lines begin and end no run
+                        n -= 1
                     if len(" ".join(own[i : i + n]).split()) > words or sum(len(x.strip()) for x in own[i : i + n]) >= line_chunks.RUN_CHARS:
                         gone |= set(range(i, i + n))
-        out[d] = "\n".join(x for i, x in enumerate(own) if i not in gone)
+        out[d] = gone
     return out
 
 
+def brute_runs(docs):
+    """Texts without those lines."""
+    gone = runs_gone(docs)
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
+
+
 def short_lined(seed, n=24):
     r = random.Random(seed)
     line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(1, 24)))
