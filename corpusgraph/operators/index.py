@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +22,8 @@ def term_freq(docs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def doc_freq(tf: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(term, df, kept): kept if at most a share of all documents has the term."""
-    df = tf.groupBy("term", "n_all").agg(F.count("*").alias("df"))
+    # counted over the frequencies, so that they are needed and the tokens' exchange is the one that the postings use
+    df = tf.groupBy("term", "n_all").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return df.select("term", "df", "n_all", (F.col("df") / F.col("n_all") <= F.lit(cfg.df_ratio)).alias("kept"))
 
 
@@ -30,13 +34,18 @@ def postings(tf: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def search(docs: DataFrame, posting: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """(id, title, url, score) of the best documents; repeated query words count again; ties by id."""
-    spark = docs.sparkSession
-    words = spark.range(1).select(F.explode(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(T.TOKEN), 0)).alias("term"))
-    hit = posting.join(F.broadcast(words), "term")  # a query's words
-    size = posting.join(F.broadcast(words.distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("plen"))
-    each = hit.join(F.broadcast(size), "term")
-    score = F.sum(F.log(1 + F.col("n_all") / (1 + F.col("plen"))) * (1 + F.log(F.col("tf"))))
+    """(id, title, url, score) of the best documents; repeated query words count again; ties by id.
+
+    The query's words go into the plan as a filter, which reaches the scan of stored postings, and the counting of terms
+    where the postings are made on the way.
+    """
+    times = Counter(re.findall(T.TOKEN, query.lower()))
+    hit = posting.where(F.col("term").isin(*times)) if times else posting.limit(0)
+    again = F.lit(0)
+    for term, n in times.items():
+        again = F.when(F.col("term") == term, F.lit(n)).otherwise(again)
+    each = hit.withColumn("plen", F.count("*").over(Window.partitionBy("term")))  # at most a posting list's length of rows each
+    score = F.sum(again * F.log(1 + F.col("n_all") / (1 + F.col("plen"))) * (1 + F.log(F.col("tf"))))
     best = each.groupBy("id").agg(F.round(score, 9).alias("raw")).orderBy(F.desc("raw"), "id").limit(limit)
     return docs.select("id", "title", "url").join(F.broadcast(best), "id", "right").select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.round("raw", 3).alias("score"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -86,3 +87,66 @@ def sink(df: DataFrame, path: str, checkpoint: str, seq: str | None = "seq"):
         out.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
 
     return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def batches(events: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str, most: int = 100, every: str = "300 milliseconds", once: bool = False):
+    """Hand the events on in sequence, ``put(rows, n)`` with at most ``most`` of them each; a repeated sequence number is
+    dropped, also one of an earlier batch.
+
+    ``n`` counts on from the batch's number, so that a batch that is tried again hands on the same rows under the same
+    numbers.  Numbers of the rows go by ranges, so that no task sorts a whole batch.
+    """
+    from corpusgraph.operators.index import numbered
+
+    def hand_on(batch: DataFrame, epoch: int) -> None:
+        rows = numbered(batch, "seq").withColumn("part", F.floor(F.col("__i") / most)).drop("__n")
+        last = rows.agg(F.max("part").alias("p")).first()["p"]
+        for p in range(0 if last is None else last + 1):
+            put(rows.where(F.col("part") == p).orderBy("__i").drop("__i", "part"), (epoch << 32) + p)
+
+    write = events.dropDuplicates(["seq"]).writeStream.foreachBatch(hand_on).option("checkpointLocation", checkpoint)
+    return (write.trigger(availableNow=True) if once else write.trigger(processingTime=every)).start()
+
+
+class Run:
+    """One run at a time: idle, running, complete or failed.
+
+    ``start`` takes a function that starts a streaming query.  ``state`` looks at the query; a run without progress for
+    ``quiet`` seconds, or longer than ``whole`` seconds, is stopped and has failed.
+    """
+
+    def __init__(self, quiet: float = 180, whole: float = 900) -> None:
+        self.quiet, self.whole = quiet, whole
+        self._query, self._error = None, ""
+        self._began = self._moved = 0.0
+        self._seen: object = None
+
+    def start(self, begin: Callable[[], object]) -> None:
+        if self.state() == "running":
+            raise RuntimeError("a run is going on")
+        self._error, self._seen = "", None
+        self._began = self._moved = time.monotonic()
+        self._query = begin()
+
+    def state(self) -> str:
+        q = self._query
+        if q is None:
+            return "idle"
+        if self._error:
+            return "failed"
+        if not q.isActive:
+            self._error = str(q.exception() or "")
+            return "failed" if self._error else "complete"
+        now, last = time.monotonic(), q.lastProgress
+        mark = (last or {}).get("batchId"), (last or {}).get("numInputRows")
+        if mark != self._seen:
+            self._seen, self._moved = mark, now
+        if now - self._moved > self.quiet or now - self._began > self.whole:
+            q.stop()
+            self._error = "no progress" if now - self._moved > self.quiet else "too long"
+            return "failed"
+        return "running"
+
+    @property
+    def error(self) -> str:
+        return self._error
