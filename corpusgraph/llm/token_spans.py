@@ -11,6 +11,7 @@ its sections cover it.  Rows are independent: no shuffle.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,6 +74,34 @@ def attribute(lengths: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str
     return np.bincount(at[ok], minlength=n)[:n], touched
 
 
+def pieces(start: list[int | None], end: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, section) of disjoint pieces in order, from sections that may be in any order and overlap.
+
+    What several sections cover belongs to the one that begins last, of those the later given.  A section without a bound,
+    or that ends before it begins, has no piece.
+    """
+    known = sorted((max(a, 0), k, max(b, 0)) for k, (a, b) in enumerate(zip(start, end, strict=True)) if a is not None and b is not None and b > max(a, 0))
+    bounds = sorted({x for a, _, b in known for x in (a, b)})
+    out: list[list[int]] = []
+    open_: list[tuple[int, int, int]] = []  # (-start, -number, end): the one that begins last is first
+    at = 0
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        while at < len(known) and known[at][0] <= low:
+            a, k, b = known[at]
+            heapq.heappush(open_, (-a, -k, b))
+            at += 1
+        while open_ and open_[0][2] <= low:
+            heapq.heappop(open_)
+        if open_:
+            k = -open_[0][1]
+            if out and out[-1][2] == k and out[-1][1] == low:
+                out[-1][1] = high
+            else:
+                out.append([low, high, k])
+    a, b, k = np.array(out, np.int64).reshape(-1, 3).T
+    return a, b, k
+
+
 @lru_cache(maxsize=2)
 def _encoding(name: str, pattern: str):
     import tiktoken
@@ -90,7 +119,9 @@ def section_counts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     n_crossing counts tokens that begin in the section and end beyond it.  Null texts count as empty, with one empty
     section and no tokens.  Sections are lines unless given; tokens outside of all given sections count in n_tokens only.
-    A null id stays null, repeated rows give repeated rows, other columns aren't read, an empty table gives an empty one.
+    Given sections may be in any order, reach beyond the text and overlap (see ``pieces``); one with a null bound, or null
+    itself, holds nothing.  A null id, or one that isn't a number, gives a null id; repeated rows give repeated rows,
+    other columns aren't read, an empty table gives an empty one.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -100,7 +131,7 @@ def section_counts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     name = ranks_path.rsplit("/", 1)[-1]
     column = F.col(text) if isinstance(text, str) else text
     by_line = sections is None
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(column.cast("string"), F.lit("")).alias("text"), *([] if by_line else [sections.cast(SECTIONS).alias("sections")]))
+    rows = df.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(column.cast("string"), F.lit("")).alias("text"), *([] if by_line else [sections.cast(SECTIONS).alias("sections")]))
     part = pa.struct([("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +148,21 @@ def section_counts(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
                     start, end = end - size, np.append(end[:-1], len(t))
                     own = list(map(str, range(len(lines))))
                 else:
-                    start, end = (np.array([x[k] for x in s or []], np.int64) for k in ("start", "end"))
-                    own = [x["name"] for x in s or []]
+                    start, end = ([(x or {}).get(k) for x in s or []] for k in ("start", "end"))
+                    own = [(x or {}).get("name") for x in s or []]
                 lengths = length_of[encoding.encode_ordinary(t)]
-                got, over = attribute(lengths, _byte_places(raw, start), _byte_places(raw, end), rule)
+                if by_line:
+                    got, over = attribute(lengths, _byte_places(raw, start), _byte_places(raw, end), rule)
+                else:
+                    a, z, k = pieces(start, end)
+                    each = attribute(lengths, _byte_places(raw, a), _byte_places(raw, z), rule)
+                    got, over = (np.bincount(k, v, minlength=len(own)).astype(np.int64) for v in each)
                 n.append(len(lengths))
                 offsets.append(offsets[-1] + len(own))
                 names += own
                 for to, v in zip((starts, ends, counts, crossing), (start, end, got, over), strict=True):
                     to.append(v)
-            flat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+            flat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind) if by_line or kind == pa.int64() else pa.array([v for y in x for v in y], kind)
             inner = pa.StructArray.from_arrays(
                 [pa.array(names, pa.string()), flat(starts, pa.int32()), flat(ends, pa.int32()), flat(counts, pa.int64()), flat(crossing, pa.int64())], fields=list(part)
             )

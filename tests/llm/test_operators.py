@@ -805,6 +805,34 @@ def test_sections_equal_brute_force(spark, rule):
     assert [s.n_tokens for s in got.sections] == brute_sections(text, cuts, rule)
 
 
+@pytest.mark.parametrize("rule", token_spans.RULES)
+def test_odd_sections_equal_brute_force(spark, rule):
+    """Unsorted, overlapping, empty and unbounded sections: each byte is of the section that begins last."""
+    r = random.Random(len(rule))
+    text = "Überschrift und some running text with unfamiliarities 😀 and numbers 12345 at the end"
+    given = [[(None, 5), (3, None), None, (9, 2), (4, 4)]] + [[(r.randrange(-3, 90), r.randrange(0, 99)) for _ in range(r.randrange(9))] for _ in range(20)]
+    rows = [(i, text, [None if x is None else (str(k), *x) for k, x in enumerate(g)]) for i, g in enumerate(given)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<name:string,start:int,end:int>>")
+    got = {x.doc_id: [(s.start, s.end, s.n_tokens) for s in x.sections] for x in token_spans.section_counts(df, *tokens(), sections=F.col("spans"), rule=rule).collect()}
+    for i, g in enumerate(given):
+        owner = [-1] * len(text)
+        for k, x in sorted(enumerate(g), key=lambda p: (-99 if p[1] is None or p[1][0] is None else max(p[1][0], 0), p[0])):
+            if x and None not in x:
+                for at in range(max(x[0], 0), min(max(x[1], 0), len(text))):
+                    owner[at] = k
+        cuts, whose = [], []
+        for at, k in enumerate(owner):
+            if k >= 0 and whose and whose[-1] == k and cuts[-1][1] == at:
+                cuts[-1] = (cuts[-1][0], at + 1)
+            elif k >= 0:
+                cuts.append((at, at + 1))
+                whose.append(k)
+        want = [0] * len(g)
+        for k, n in zip(whose, brute_sections(text, cuts, rule), strict=True):
+            want[k] += n
+        assert got[i] == [((None, None) if x is None else x) + (n,) for x, n in zip(g, want, strict=True)]
+
+
 def test_lines_and_fields_add_up(spark):
     df = frame(spark, EDGES)
     for r in token_spans.section_counts(df, *tokens()).collect():
