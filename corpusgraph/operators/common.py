@@ -25,18 +25,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if got["n"] <= rows and (got["b"] or 0) <= size else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
     Only a local master gets a folder of our own where it is unset; a cluster would lose what is written there.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        if not where and not re.match(r"local(\[|$)", sc.master):
+    where = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if not where:
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusgraph-checkpoint-"))
+        where = sc._corpusgraph_shared = getattr(sc, "_corpusgraph_shared", None) or tempfile.mkdtemp(prefix="corpusgraph-checkpoint-")
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -17,20 +17,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusgraph.config import DERIVED_KINDS, EVIDENCE_KINDS
+from corpusgraph.operators.index import numbered
 
 ORDER = (*EVIDENCE_KINDS, *DERIVED_KINDS)
 
 
-def build_phases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, count, t0, dur): the corpus phase and one phase for each kind of edge, one after another.
-
-    The table of kinds is closed, so the running sum is over a few rows.
-    """
+def _phases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, count, t0, dur), not rounded.  The table of kinds is closed, so the running sum is over a few rows."""
     corpus = nodes.agg(F.count("*").alias("count")).select(F.lit("CORPUS").alias("name"), "count", F.lit(-1).alias("pos"), F.least(F.lit(10.0), F.greatest(F.lit(1.2), F.col("count") / 2500)).alias("dur"))
     pos = F.array_position(F.array(*map(F.lit, ORDER)), F.col("k")).cast("int")
     kinds = edges.groupBy("k").agg(F.count("*").alias("count")).select(F.col("k").alias("name"), "count", F.when(pos == 0, 99).otherwise(pos).alias("pos"), F.least(F.lit(14.0), F.greatest(F.lit(0.4), F.col("count") / 1500)).alias("dur"))
     t0 = F.coalesce(F.sum("dur").over(Window.orderBy("pos", "name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return corpus.union(kinds).select("name", "count", F.round(t0, 4).alias("t0"), F.round("dur", 4).alias("dur"))
+    return corpus.union(kinds).select("name", "count", t0.alias("t0"), "dur")
+
+
+def build_phases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, count, t0, dur): the corpus phase and one phase for each kind of edge, one after another."""
+    return _phases(nodes, edges).select("name", "count", F.round("t0", 4).alias("t0"), F.round("dur", 4).alias("dur"))
+
+
+def edge_births(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(s, t, k, birth): when each edge appears, the edges of a kind evenly through its phase in the order of their ends.
+
+    Edges are numbered by ranges of (kind, ends), so a kind of any size is many tasks' work.
+    """
+    line = numbered(edges.select("s", "t", "k").withColumn("o", F.struct("k", "s", "t")), "o")
+    first = line.groupBy("k").agg(F.min("__i").alias("first"))  # a row for each kind, as the phases have
+    phase = _phases(nodes, edges).select(F.col("name").alias("k"), "count", "t0", "dur")
+    at = F.col("t0") + (F.col("__i") - F.col("first") + 1) / F.col("count") * F.col("dur")
+    return line.join(F.broadcast(first), "k").join(F.broadcast(phase), "k").select("s", "t", "k", F.round(at, 4).alias("birth"))
+
+
+# Fixed values of a town: a floor's height, least and most floors, what rank and degree add, and how much is lit.
+FLOOR, FLOORS, BASE, BY_RANK, BY_DEGREE = 0.62, (3, 30), 1.2, 14.2, 3.2
+LIT, LIT_FAN, LIT_WORDS, LIT_ALONE, LIT_ALONE_WORDS = 0.06, 0.20, 0.28, 0.02, 0.12
+
+
+def towers(nodes: DataFrame) -> DataFrame:
+    """(id, floors, height, lit) of nodes (id, r, degree, kids, words): a page as a tower, as high as its rank and degree
+    against the largest ones, lit by its words and the links it sends."""
+    most = nodes.agg(*[F.greatest(F.max(c), F.lit(least)).alias(f"max_{c}") for c, least in (("r", 1e-9), ("degree", 1), ("kids", 1), ("words", 1))])  # one row
+    part = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.col(f"max_{c}")))
+    high = F.round((BASE + BY_RANK * F.sqrt(part("r")) + BY_DEGREE * F.sqrt(part("degree"))) / FLOOR).cast("int")
+    floors = F.greatest(F.lit(FLOORS[0]), F.least(F.lit(FLOORS[1]), high))
+    volume = F.sqrt(part("words"))
+    lit = F.when(F.col("kids") > 0, LIT + LIT_FAN * F.sqrt(part("kids")) + LIT_WORDS * volume).otherwise(LIT_ALONE + LIT_ALONE_WORDS * volume)
+    return nodes.crossJoin(F.broadcast(most)).select("id", floors.alias("floors"), F.round(floors * FLOOR, 6).alias("height"), F.round(lit, 6).alias("lit"))
 
 
 #: Version of the container, and the tables that an archive may have with the columns that each must have.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,14 @@ from corpusgraph.config import DEFAULT
 from corpusgraph.functions import ids
 from corpusgraph.functions import text as T
 from corpusgraph.operators import claims, events, graph, index, layout, links, relations, retrieval, view
-from corpusgraph.operators.common import top
+from corpusgraph.operators.common import shared_folder, top
 from corpusgraph.operators.profile import narrowed, profiles, selected, terms
 from corpusgraph.plans import sql as S
 from corpusgraph.plans.build import build_graph
 from corpusgraph.sources import files as tree
 from corpusgraph.sources import tables as src
 from corpusgraph.sources import web
+from corpusgraph.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -313,6 +315,24 @@ def build_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.build_phases(src.order_nodes(spark, sf_dir), src.order_links(spark, sf_dir))
 
 
+@query(f"""WITH {S.LINKS}, {S.LINK_NODES}, p AS (SELECT k, count(*) AS m, list_position(['ref', 'imports'], k) AS pos, least(14.0::DOUBLE, greatest(0.4::DOUBLE, count(*) / 1500.0::DOUBLE)) AS dur FROM links GROUP BY k),
+c AS (SELECT least(10.0::DOUBLE, greatest(1.2::DOUBLE, count(*) / 2500.0::DOUBLE)) AS dur FROM nodes), q AS (SELECT k, m, p.dur, c.dur + coalesce(sum(p.dur) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0 FROM p, c)
+SELECT s, t, links.k AS k, round(t0 + row_number() OVER (PARTITION BY links.k ORDER BY s, t) / m::DOUBLE * dur, 4) AS birth FROM links JOIN q USING (k)""")
+def edge_births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.edge_births(src.order_nodes(spark, sf_dir), src.order_links(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT c_custkey AS id, greatest(c_acctbal::DOUBLE, 0) AS r, coalesce(k, 0) AS kids, c_nationkey + coalesce(k, 0) AS degree, length(c_name) AS words FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+m AS (SELECT max(r) AS mr, max(kids) AS mk, max(degree) AS md, max(words) AS mw FROM n), f AS (SELECT *, least(30, greatest(3, round((1.2::DOUBLE + 14.2::DOUBLE * sqrt(r / mr) + 3.2::DOUBLE * sqrt(degree / md::DOUBLE)) / 0.62::DOUBLE)::INT))::INT AS floors FROM n, m)
+SELECT id, floors, round(floors * 0.62::DOUBLE, 6) AS height, round(CASE WHEN kids > 0 THEN 0.06::DOUBLE + 0.20::DOUBLE * sqrt(kids / mk::DOUBLE) + 0.28::DOUBLE * sqrt(words / mw::DOUBLE) ELSE 0.02::DOUBLE + 0.12::DOUBLE * sqrt(words / mw::DOUBLE) END, 6) AS lit FROM f""")
+def towers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pages: their balance is the rank, their orders are the links they send."""
+    kids = src.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("kids"))
+    c = src.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.greatest(F.col("c_acctbal").cast("double"), F.lit(0.0)).alias("r"), "c_nationkey", F.length("c_name").alias("words"))
+    n = c.join(kids, "id", "left").withColumn("kids", F.coalesce("kids", F.lit(0)))
+    return view.towers(n.withColumn("degree", F.col("c_nationkey") + F.col("kids")))
+
+
 @query()
 def settled_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers and nations laid out, a site for each region: one group of rows for each site."""
@@ -517,6 +537,48 @@ def site_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("url", ids.site_id(F.col("url")).alias("site_id"))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
+    """The manuals as a stored site, in a folder of its own for each folder of tables."""
+    docs = src.manuals(spark, sf_dir)
+    edges = links.body_links(docs).select(F.col("src").alias("s"), F.col("dst").alias("t"), F.lit("ref").alias("k"))
+    nodes = docs.select(F.col("id").alias("i"), F.col("chapter").alias("c"), F.col("title").alias("t"), F.col("url").alias("u"), F.lit(0).alias("g"), F.lit(0.0).alias("r"), F.lit(0).alias("w"))
+    store = Store(spark, f"{shared_folder(spark)}/sites-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}")
+    report = graph.verdict(edges).crossJoin(F.broadcast(docs.agg(F.count("*").alias("docs"))))  # one row each
+    with store.lock("parts"):
+        store.save("parts", "https://parts.example/", nodes, edges, index.postings(index.term_freq(docs)), docs, report)
+    return store, "parts"
+
+
+_PARTS = rf"""{S.MANUALS}, x AS (SELECT id AS s, unnest(regexp_extract_all(body, '\[[^\]]*\]\(([^)\s#]+)', 1)) AS x FROM manuals),
+y AS (SELECT DISTINCT s, regexp_replace(regexp_replace(replace(x, '/', '_'), '\.html$', ''), '\.md$', '') AS t FROM x), links AS MATERIALIZED (SELECT s, t FROM y WHERE t IN (SELECT id FROM manuals) AND s <> t)"""
+
+
+@query(f"WITH {S.MANUALS} SELECT 'parts' AS site_id, 'https://parts.example/' AS url, count(*) AS docs, CASE WHEN count(*) < 128 THEN 1 WHEN count(*) < 1024 THEN 16 WHEN count(*) < 32768 THEN 64 ELSE 256 END::INT AS doc_buckets FROM manuals")
+def list_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir)[0].list_sites().select("site_id", "url", "docs", "doc_buckets")
+
+
+@query(f"WITH {S.MANUALS} SELECT id, chapter, title, url, sha, body FROM manuals WHERE id = 'part_0000007'")
+def get_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, site = stored(spark, sf_dir)
+    return store.get_page(site, "part_0000007")
+
+
+@query(f"WITH {_PARTS} SELECT id, count(*) AS degree FROM (SELECT s AS id FROM links UNION ALL SELECT t FROM links) GROUP BY id ORDER BY degree DESC, id LIMIT 5")
+def site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, site = stored(spark, sf_dir)
+    return store.site_stats(site)[1]
+
+
+@query(f"""WITH {S.MANUALS}, {S.term_freq('manuals')}, {S.POSTINGS}, q AS (SELECT unnest(['crew-3', 'bin-7', 'crew-3', 'nothing']) AS term),
+l AS (SELECT term, count(*) AS plen FROM post GROUP BY term),
+z AS (SELECT id, round(sum(ln(1 + n / (1 + plen)::DOUBLE) * (1 + ln(tf))), 9) AS raw FROM q JOIN post USING (term) JOIN l USING (term), n GROUP BY id ORDER BY raw DESC, id LIMIT 10)
+SELECT id, title, url, round(raw, 3) AS score FROM z JOIN manuals USING (id)""")
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, site = stored(spark, sf_dir)
+    return store.search(site, "crew-3 bin-7 crew-3 nothing")
+
+
 # -- events -------------------------------------------------------------------------------------------------
 
 

@@ -108,6 +108,31 @@ def batches(events: DataFrame, put: Callable[[DataFrame, int], None], checkpoint
     return (write.trigger(availableNow=True) if once else write.trigger(processingTime=every)).start()
 
 
+def layout_patches(events: DataFrame, folder: str, checkpoint: str, seed: int = 7, once: bool = False, every: str = "150 milliseconds"):
+    """Places of nodes as they come: each batch's new nodes are put near what has a place already, and the places, (i, x,
+    y, z), are written below ``folder``/places by batch.
+
+    The log's edges are kept below ``folder``/edges, those of the batch count for its nodes.  A batch that is tried again
+    writes the same folders again.
+    """
+    from corpusgraph.operators import layout
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        site = F.lit("").alias("site_id")
+        kind = F.coalesce(F.nullif(F.col("kind"), F.lit("")), F.lit("ref"))
+        batch.where("t = 'edge_added'").select("s", F.col("d").alias("t"), kind.alias("k")).write.mode("overwrite").parquet(f"{folder}/edges/epoch={epoch}")
+        spark.createDataFrame([], "i string, x double, y double, z double").write.mode("overwrite").parquet(f"{folder}/places/epoch={epoch}")
+        edges = spark.read.schema("s string, t string, k string, epoch long").parquet(f"{folder}/edges")
+        known = spark.read.schema("i string, x double, y double, z double, epoch long").parquet(f"{folder}/places").where(F.col("epoch") < epoch)
+        nodes = batch.where("t = 'node_added'").select(site, F.col("id").alias("i"))
+        new = layout.placed(nodes, edges.select(site, "s", "t", "k"), known.select(site, "i", "x", "y", "z"), seed)
+        new.select("i", "x", "y", "z").write.mode("append").parquet(f"{folder}/places/epoch={epoch}")
+
+    write = events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (write.trigger(availableNow=True) if once else write.trigger(processingTime=every)).start()
+
+
 class Run:
     """One run at a time: idle, running, complete or failed.
 

@@ -43,6 +43,18 @@ def test_batches_in_sequence(spark, tmp_path):
     assert len(got) == 3  # seen before
 
 
+def test_layout_patches(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    node = lambda s, i: (s, "node_added", i, None, None, "c", None, None, None)
+    edge = lambda s, a, b: (s, "edge_added", None, None, None, None, a, b, None)
+    for part in ([node(1, "a"), node(2, "b")], [node(3, "c"), edge(4, "a", "c")], [node(5, "a"), node(6, "d")]):
+        spark.createDataFrame(part, live.EVENT).coalesce(1).write.mode("append").json(str(src))
+        live.layout_patches(live.read_events(spark, str(src)), out, str(tmp_path / "ck"), once=True).awaitTermination()
+    got = {r.i: (r.epoch, (r.x, r.y, r.z)) for r in spark.read.parquet(f"{out}/places").collect()}
+    assert {i: e for i, (e, _) in got.items()} == {"a": 0, "b": 0, "c": 1, "d": 2}
+    assert got["b"][1] == pytest.approx(layout.stage(7, "b")) and 0 < math.dist(got["c"][1], got["a"][1]) <= layout.JITTER + 1e-9
+
+
 class Query:
     def __init__(self, error=None):
         self.isActive, self.lastProgress, self._error = True, {"batchId": 0, "numInputRows": 1}, error
