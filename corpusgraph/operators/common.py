@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from functools import reduce
 from pathlib import Path
@@ -47,6 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and where it is: for wide rows of which many passes read a few
+    columns each.  ``delete`` it when nothing reads it any more."""
+    where = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where), where
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per context."""
     sc = spark.sparkContext

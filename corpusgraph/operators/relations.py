@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusgraph.config import DEFAULT, STRUCTURAL_KINDS, SYMBOL_STOP, Config
 from corpusgraph.functions import text as T
-from corpusgraph.operators.common import df_ceiling, following, idf, nominated, pairs, small, top, with_count
+from corpusgraph.operators.common import cut, df_ceiling, following, idf, nominated, pairs, small, top, with_count
 from corpusgraph.operators.profile import terms
 
 
@@ -128,14 +128,21 @@ def co_cited_with(links: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def shares_entity(entities: DataFrame, pages: int | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Entities (id, entity) in common, two at least; ``pages`` is the number of pages asked for entities."""
+    """Entities (id, entity) in common, two at least; ``pages`` is the number of pages asked for entities.
+
+    Of two entities in common one isn't the most frequent of either document, so documents meet in all but their most
+    frequent one: an entity that a third of them has makes few pairs.  What meets is counted on the whole lists.
+    """
     each = entities.select("id", T.fold(F.col("entity")).alias("entity")).where("entity <> ''").distinct()
     n = F.lit(pages) if pages is not None else None
     each = each.crossJoin(F.broadcast(each.agg(F.count_distinct("id").alias("n_all")))) if n is None else each.withColumn("n_all", n)
     df = each.groupBy("entity", "n_all").agg(F.count("*").alias("df"))
-    df = df.where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n_all") * F.lit(0.3)).cast("int")))).select("entity")
-    met = pairs(each.select("id", "entity").join(df, "entity"), "entity").groupBy("a", "b").agg(F.count("*").alias("score"))
-    return nominated(met.where("score >= 2"), cfg.entity_cap, "shares_entity")
+    df = df.where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n_all") * F.lit(0.3)).cast("int")))).select("entity", "df")
+    lists = cut(each.select("id", "entity").join(df, "entity").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "entity"))).alias("es")).where(F.size("es") >= 2).select("id", "es.entity"))
+    met = pairs(lists.select("id", F.explode(F.slice("entity", 1, F.size("entity") - 1)).alias("entity")), "entity").select("a", "b").distinct()
+    both = met.join(lists.select(F.col("id").alias("a"), F.col("entity").alias("ea")), "a").join(lists.select(F.col("id").alias("b"), F.col("entity").alias("eb")), "b")
+    scored = both.select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("score"))
+    return nominated(scored.where("score >= 2"), cfg.entity_cap, "shares_entity")
 
 
 #: Vectors of a block: two blocks of so many rows and their products are all that a task holds.

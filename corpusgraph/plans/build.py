@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from corpusgraph.config import DEFAULT, Config, resolve_mode
 from corpusgraph.functions import text as T
 from corpusgraph.operators import claims, graph, index, relations
-from corpusgraph.operators.common import cut, union
+from corpusgraph.operators.common import cut, delete, union, written
 from corpusgraph.operators.profile import narrowed, profiles, selected
 
 
 @dataclass(frozen=True)
 class Graph:
-    """The tables of a built site; all are lazy but for the profiles and the evidence, which many passes use."""
+    """The tables of a built site; all are lazy but for the profiles and the evidence, which many passes use.
+
+    The profiles are a table in the shared folder, of which each pass reads the columns it needs; ``release`` deletes it
+    when the graph's tables are stored.
+    """
 
     nodes: DataFrame
     edges: DataFrame
@@ -24,6 +28,11 @@ class Graph:
     postings: DataFrame
     report: DataFrame
     notes: tuple[str, ...]
+    where: str = ""
+
+    def release(self) -> None:
+        if self.where:
+            delete(self.nodes.sparkSession, self.where)
 
 
 def derived_edges(profile: DataFrame, evidence: DataFrame, enabled: tuple[str, ...], cfg: Config = DEFAULT, heavy_ok: bool = True, entities: DataFrame | None = None, vectors: DataFrame | None = None, picks: DataFrame | None = None) -> DataFrame:
@@ -58,7 +67,7 @@ def build_graph(docs: DataFrame, evidence: DataFrame, relations_mode: str | None
         heavy_ok = False
         notes.append(f"mentions_symbol and similar_to skipped: over {cfg.heavy_docs} documents")
     notes += [f"{k} skipped: no {v}" for k, v in (("shares_entity", "entities"), ("semantic_similar", "vectors")) if k in enabled and models.get(v) is None]
-    profile = cut(profiles(docs, cfg))
+    profile, where = written(profiles(docs, cfg))
     sure = cut(claims.evidence_first(evidence, docs))
     derived = cut(derived_edges(profile, sure, enabled, cfg, heavy_ok, **models))
     edges = sure.select("s", "t", "k").union(derived)
@@ -71,4 +80,4 @@ def build_graph(docs: DataFrame, evidence: DataFrame, relations_mode: str | None
         graph.verdict(edges).crossJoin(F.broadcast(docs.agg(F.count("*").alias("docs")))).crossJoin(F.broadcast(kinds))
         .crossJoin(F.broadcast(posting.agg(F.count_distinct("term").alias("terms")))).withColumn("relation_mode", F.lit(relations_mode or "auto"))
     )
-    return Graph(nodes, edges, derived, posting, report, tuple(notes))
+    return Graph(nodes, edges, derived, posting, report, tuple(notes), where)

@@ -28,7 +28,9 @@ def site_of(spark: SparkSession, url: str) -> str:
 def _kept(store: Store, site_id: str, url: str, docs: DataFrame, evidence: DataFrame, relations: str | None, cfg: Config, **models: DataFrame | None) -> tuple[Graph, dict]:
     with store.lock(site_id):
         g = build_graph(docs, evidence, relations, cfg, **models)
-        return g, store.save(site_id, url, g.nodes, g.edges, g.postings, docs, g.report)
+        meta = store.save(site_id, url, g.nodes, g.edges, g.postings, docs, g.report)
+        g.release()
+        return g, meta
 
 
 def ingest_files(store: Store, files: DataFrame, root: str, max_files: int = FILES, ignore: str = "", relations: str | None = None, exempt: tuple[str, ...] = (), cfg: Config = DEFAULT) -> dict:
