@@ -211,7 +211,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     paragraphs the edited text has lost and gained (n_removed, n_added).
 
     Null texts count as empty, and an empty text has the fingerprint of no keys; the likeness of two empty ones is 1.
-    Null ids come last in the order; repeated rows are documents of their own.  Other columns aren't read; an empty
+    Null ids, and ids that aren't numbers, come last in the order and are null; repeated rows are documents of their own.  Other columns aren't read; an empty
     table gives an empty table; a single document is its own next.
     """
     docs = df.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

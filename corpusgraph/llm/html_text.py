@@ -331,7 +331,7 @@ def main_text(page: str | None) -> str:
 def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``df``.
 
-    A null or empty page has an empty text.  Null ids and urls stay null; repeated rows give repeated rows; other columns
+    A null or empty page has an empty text.  Null ids and urls stay null, and an id that isn't a number is null; repeated rows give repeated rows; other columns
     aren't read; an empty table gives an empty table.  A page cut off in a tag, comment or reference is read as far as
     it goes.
     """
@@ -342,5 +342,5 @@ def extract(df: DataFrame, id_col: str = "page_id", url: str = "url", page: str
             texts = [main_text(p.as_py()) for p in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
+    rows = df.select(F.col(id_col).try_cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

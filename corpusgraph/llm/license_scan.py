@@ -113,8 +113,8 @@ def _found_sql(idf: dict[str, float], index: dict[str, list[tuple[int, int]]]) -
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per row of ``df``.
 
-    Null texts count as empty: no words, no labels (empty strings), score 0.  A null id stays null; repeated rows give
-    repeated rows; other columns aren't read; an empty table gives an empty table.
+    Null texts count as empty: no words, no labels (empty strings), score 0.  A null id, or one that isn't a number,
+    gives a null id; repeated rows give repeated rows; other columns aren't read; an empty table gives an empty table.
     """
     idf = _idf()
     index = _index(idf)

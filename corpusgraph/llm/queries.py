@@ -102,3 +102,15 @@ c AS (SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(regexp
 d AS (SELECT page_id, url, string_agg(regexp_replace(t, '&amp;?', '&', 'g'), chr(10) || chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY ALL)
 SELECT page_id, a.url, coalesce(text, '') AS text, coalesce(length(text), 0)::BIGINT AS n_chars FROM a LEFT JOIN d USING (page_id)
 """
+
+#: Bytes of a record that don't depend on its page: the fixed parts of the head, the id and the digest in it, the line ends.
+_FIXED = sum(
+    map(len, ("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: ", "\r\nWARC-Record-ID: <urn:uuid:", ">\r\nWARC-Block-Digest: sha256:", "\r\nContent-Type: text/html\r\nContent-Length: ", "\r\n\r\n", "\r\n\r\n"))
+) + 36 + 64
+#: The ranges of records follow from their lengths; which ones were changed is known from how the replica was made.
+ORACLES["op9_warc_fixity"] = f"""
+WITH p AS (SELECT page_id, 'pages-' || lpad((page_id // 2048)::VARCHAR, 6, '0') AS archive, page_id || ' ' || coalesce(url, '') AS key, coalesce(html, '') AS h, coalesce(url, '') AS u FROM pages),
+r AS (SELECT *, ({_FIXED} + strlen(u) + strlen(h) + length(strlen(h)::VARCHAR))::BIGINT AS n FROM p)
+SELECT archive, row_number() OVER w - 1 AS leaf, key, (sum(n) OVER w - n)::BIGINT AS "offset", n AS length, CASE WHEN page_id % 97 = 13 AND h <> '' THEN 'differs' ELSE 'intact' END AS status
+FROM r WINDOW w AS (PARTITION BY archive ORDER BY page_id)
+"""

@@ -7,9 +7,9 @@ the position is marked as failed in a bitfield and the token before it is taken
 all compatible is the sequence the merges would have made.  The compatibility of a pair is computed once per worker.
 
 Words are independent of each other when no piece holds a letter followed by the word mark; this is checked when the
-model is loaded, and otherwise the text is one word.  Runs of the word mark have pieces of one and the same score,
-where "leftmost first" decides and the pair test isn't sufficient, so words that begin with such a run are merged
-directly (with a heap).  Characters outside the vocabulary become byte tokens.
+model is loaded, and otherwise the text is one word, which is merged directly (with a heap).  Runs of the word mark have
+pieces of one and the same score, where the leftmost pair goes first; the pair test replays that order, and the tests
+hold such runs of every length against the library.  Characters outside the vocabulary become byte tokens.
 
 Rows are independent: no shuffle, and memory is bounded by one Arrow batch and a cache of two generations.
 """
@@ -166,7 +166,7 @@ class BacktrackingEncoder:
         return [] if chars.issuperset(word) else [i for i, c in enumerate(word) if c not in chars]
 
     def _known(self, text: str, ids: list[int]) -> None:
-        pieces = self.merge(text) if not self.by_word or MARK * 2 in text else self.backtrack(text)
+        pieces = self.backtrack(text) if self.by_word else self.merge(text)
         ids += map(self.id.__getitem__, pieces)
 
     def decode(self, ids: list[int]) -> str:
@@ -277,8 +277,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
 def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: id, n_tokens, ids_sha256, decoded_sha256.
 
-    A null text counts as empty (0 tokens, the hash of nothing); a null id stays null; repeated rows give repeated
-    rows; an empty table gives an empty table; other columns are not read.
+    A null text counts as empty (0 tokens, the hash of nothing); a null id, or one that isn't a number, gives a null id; repeated rows
+    give repeated rows; an empty table gives an empty table; other columns are not read.
     """
     name = _ship_model(df, model_path)
 
@@ -292,6 +292,6 @@ def encode_digests(df: DataFrame, model_path: str, id_col: str = "doc_id", text:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return df.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
