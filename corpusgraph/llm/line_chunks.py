@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgraph.llm._common import BROADCAST_ROWS, cut, ship, small
+from corpusgraph.llm._common import BROADCAST_ROWS, cut, ship, small, unused
 
 WINDOW, DIVISOR, LONG_WORDS = 2, 2, 25
 #: A line with as many characters is long, however few words it has.
@@ -172,7 +172,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", window:
     Without ``run_words`` only chunks are compared, without ``chunks`` only runs (see ``runs_of``).
     """
     how = (chunks, run_words, (window, divisor, long_words))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = df.select(F.col(id_col).try_cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     again = cut(_emit(docs, False, *how).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     found = cut(_emit(docs, True, *how).join(small(again), "h", "left_semi"))
@@ -190,12 +190,19 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", c
 
     ``run_words=RUN_WORDS`` removes repeated runs of lines as a whole besides (see ``removals``).
 
-    Rows with a null id or a null text stay as they are and take no part.  A text of which nothing is left becomes
+    Rows with a null id, one that isn't a number, or a null text stay as they are and take no part.  A text of which nothing is left becomes
     empty.  Repeated rows (same id and text) count as one place and get the same result.  All columns stay.
     """
-    gone = cut(removals(df, id_col, text, **options)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("cuts").alias("__cuts"))
-    joined = df.join(small(gone), (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__th")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("__cuts", lambda c: (i >= c["pos"]) & (i < c["pos"] + c["lines"])))
-    out = joined.withColumn(text, F.when(F.col("__cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return out.select(*df.columns, *([F.col("__cuts").alias(cuts)] if cuts else []))
+    own, th, list_ = unused(df, "cut_id", "cut_th", "cut_list")
+    gone = cut(removals(df, id_col, text, **options)).toDF(own, th, list_)
+    joined = df.join(small(gone), (F.col(id_col).try_cast("long") == F.col(own)) & (F.xxhash64(F.col(text).cast("string")) == F.col(th)), "left")
+
+    def kept(lines: Column) -> Column:
+        """The lines between the ranges: each is copied once, however many ranges there are."""
+        begin = F.concat(F.array(F.lit(0)), F.transform(list_, lambda c: c["pos"] + c["lines"]))
+        end = F.concat(F.transform(list_, lambda c: c["pos"]), F.array(F.size(lines)))
+        return F.flatten(F.zip_with(begin, end, lambda a, b: F.slice(lines, a + 1, b - a)))
+
+    body = F.get(F.transform(F.array(F.split(F.col(text), "\n", -1)), kept), F.lit(0))
+    out = joined.withColumn(text, F.when(F.col(list_).isNull(), F.col(text)).otherwise(F.array_join(body, "\n")))
+    return out.select(*df.columns, *([F.col(list_).alias(cuts)] if cuts else []))

@@ -20,7 +20,7 @@ from corpusgraph.llm.queries import piece_model
 from corpusgraph.llm.shingles import Rolled, words_of
 
 #: Columns with names that the operators use inside.
-CLASH = ("th", "h", "w", "seen", "rep", "digest", "bucket", "next", "range", "part", "chunk", "cuts", "x", "host", "path", "keep", "sections", "matches", "n", "a", "b", "bad_id", "bad_host", "bad_path", "bad_th", "label_id", "y")
+CLASH = ("th", "h", "w", "seen", "rep", "digest", "bucket", "next", "range", "part", "chunk", "cuts", "x", "host", "path", "keep", "sections", "matches", "n", "a", "b", "cut_id", "cut_th", "cut_list", "bad_id", "bad_host", "bad_path", "bad_th", "label_id", "y")
 
 
 def frame(spark, rows, schema="doc_id long, text string"):
@@ -46,6 +46,17 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=piece_model())
 
 
+def test_runs_of_marks_equal_the_library(coder, library):
+    r = random.Random(6)
+    assert coder.by_word
+    pieces = [p.strip("▁") for p in coder.id if p.strip("▁") and "▁" not in p.strip("▁")]
+    for n in (*range(1, 80), 127, 128, 129, 1000, 1001, 20_011):
+        for _ in range(12):
+            text = " " * n + "".join(r.choice(pieces) for _ in range(r.randrange(4)))
+            ids = library.encode(text)
+            assert coder.encode(text) == ids and [coder.id[p] for p in coder.backtrack("▁" + text.replace(" ", "▁"))] == ids
+
+
 @given(st.lists(st.sampled_from(["a", "b", "th", "ing", " ", "  ", "▁", "é", "\n", "😀", "日", "<0x0A>", "<s>", "e", "er", "\x00", "ion", "s"]), max_size=24).map("".join))
 @settings(max_examples=400, deadline=None)
 def test_pieces_equal_the_library(coder, library, text):
@@ -239,6 +250,15 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert line_chunks.chunks_of("") == [(0, 1, b"", False)]
 
 
+def test_long_text_with_many_repeats(spark):
+    """A text of 60,000 lines with a repeated pair of lines after every fourth one."""
+    pair = ["the same line here", "and the same line there"]
+    long = [x for i in range(20_000) for x in (f"own line {i}", *(pair if i % 2 else [f"other {i}", f"third {i}"]))]
+    docs = [(1, "\n".join(pair * 3)), (2, "\n".join(long))]
+    got = {r.doc_id: r.text for r in line_chunks.remove_repeated(frame(spark, docs)).collect()}
+    assert got == brute_lines(docs)
+
+
 def test_line_edges(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = [(1, None), (2, ""), (3, long), (3, long), (None, long), (4, "own\n" + long), (5, "\n\n\n")]
@@ -843,3 +863,18 @@ def test_lines_and_fields_add_up(spark):
     assert token_spans.section_counts(df.limit(0), *tokens()).count() == 0
     with pytest.raises(ValueError):
         token_spans.section_counts(df, *tokens(), rule="other")
+
+
+def test_ids_that_are_no_numbers(spark):
+    """They are null ids, and no row is lost."""
+    df = frame(spark, [("x", "one\ntwo lines"), ("7", "other words")], "doc_id string, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en"), "quality": F.lit(1)})
+    items = spark.createDataFrame([("y", "other words"), ("3", "two lines")], "item_id string, text string")
+    outs = [
+        sp_encode.encode_digests(df, piece_model()), token_spans.section_counts(df, *tokens()), license_scan.scan(df), fingerprints.compare_with_next(df), decontam.matches(df, items),
+        neardup.classes(df), quality.scores(df, df.select("doc_id", "quality")), html_text.extract(df.withColumnRenamed("doc_id", "page_id").withColumns({"url": F.lit(""), "html": F.col("text")})).withColumnRenamed("page_id", "doc_id"),
+    ]
+    for out in outs:
+        assert sorted(r.doc_id or 0 for r in out.select("doc_id").collect()) == [0, 7]
+    assert line_chunks.remove_repeated(df).count() == neardup.keep_one(df).count() == quality.kept(df, df.select("doc_id", "quality")).count() == decontam.clean(df, items.limit(0)).count() == 2
+    pages_ = df.withColumnRenamed("doc_id", "page_id").withColumns({"url": F.lit("u"), "html": F.col("text")})
+    assert warc.audited_pages(pages_, pages_).count() == 2
