@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: And their bytes at most.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Share of the driver's heap beyond which its garbage is collected between steps.
+DRIVER_HEAP = 0.5
 #: Bytes of one Arrow batch handed to a Python worker, so that very long texts don't pile up in one batch.
 BATCH_BYTES = 4 * 1024 * 1024
 
@@ -55,12 +57,28 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def tidy(spark: SparkSession, share: float = DRIVER_HEAP) -> bool:
+    """Collect the driver's garbage if its heap has grown beyond ``share`` of what it may have; says if it did.
+
+    What tasks and plans leave behind is short-lived, but the heap grows to its limit for it and doesn't shrink by itself,
+    and shuffle files and broadcasts that nothing refers to stay until the driver collects them.
+    """
+    jvm = spark._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    grown = runtime.totalMemory() > share * runtime.maxMemory()
+    if grown:
+        jvm.java.lang.System.gc()
+    return grown
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder, and keep the driver's heap from growing."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return out
 
 
 def release(*frames: DataFrame) -> None:

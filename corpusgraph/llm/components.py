@@ -25,3 +25,16 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "component")
         if new.where("was != component").isEmpty():
             return label
+
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links that ``label`` (node, component) came from and of further ``links`` (a, b).
+
+    The components are the nodes of a smaller graph, in which only the further links count.
+    """
+    part = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    ends = links.join(part, "a", "left").select(F.coalesce("ca", "a").alias("a"), "b")
+    ends = ends.join(part.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left").select("a", F.coalesce("cb", "b").alias("b"))
+    up = components(ends.where("a <> b").distinct())
+    moved = label.join(up.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return cut(moved.union(up.join(label, "node", "left_anti").select("node", "component")))

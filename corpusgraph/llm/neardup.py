@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusgraph.llm._common import cut, release, ship, small
-from corpusgraph.llm.components import components
+from corpusgraph.llm.components import components, joined
 from corpusgraph.llm.shingles import Rolled, mix, words_of
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 30, 5, 0.8
@@ -269,7 +269,7 @@ def _classes(df: DataFrame, id_col: str, text: str, width: int, bands: int, rows
     more = cut(_verified(cut(_linkable(diff, threshold)), texts, width, threshold))
     release(texts, diff, open_)
     if not more.isEmpty():
-        label = components(links.union(more))
+        label = joined(label, more)
 
     own = reps.select("node", "digest", "rep").join(label, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
     first = own.groupBy("component").agg(F.min("rep").alias("first"))
